@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_content, imatch, mixing, quality, simhash, suffix_dedup, token_files, tool_calls
+from . import bpe, html_content, imatch, mixing, quality, simhash, suffix_dedup, token_files, tool_calls, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op6_html_content": html_content.op6_html_content,
         "op7_simhash": simhash.op7_simhash,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_imatch": imatch.op9_imatch,
         "op10_quality_rules": quality.op10_quality_rules,
     }
