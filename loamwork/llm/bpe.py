@@ -31,7 +31,8 @@ from .common import table
 _WS = r"\t-\r \x85\xa0  -     　"
 #: A space next to other white space, or at an end of the text: such texts are not cut at spaces.
 _ODD = re.compile(r" (?:\s|$)|\s |^ ")
-#: Words kept in a worker; some 150 bytes each.
+_RARE = re.compile(r"[^\S \n]")
+#: Words kept in each generation of a worker's caches; some 200 bytes each.
 CACHE = 400_000
 #: A block of documents whose words are replayed together, in characters.
 BLOCK = 4_000_000
@@ -65,6 +66,44 @@ def pieces(text: str) -> Iterable[str]:
     yield text[start:]
 
 
+def odd(text: str) -> bool:
+    """Whether a space stands next to other white space or at an end."""
+    return "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or bool(_RARE.search(text) and _ODD.search(text))
+
+
+def unit_words(unit: str, find) -> list[str]:
+    """The pattern's matches in a unit: letters, letters and a mark, or else what the pattern finds."""
+    bare = unit[1:] if unit[:1] == " " else unit
+    if bare.isalpha():
+        return [unit]
+    if bare[-1:] in (".", ",") and bare[:-1].isalpha():
+        return [unit[:-1], unit[-1]]
+    return find(unit)
+
+
+class Cache:
+    """What has been worked out, in two generations: when the young one is full it becomes the old one, and what is
+    asked for again comes back from there."""
+
+    def __init__(self, limit: int = CACHE):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def missing(self, keys: Iterable) -> list:
+        """The keys that are new; all others are in `young` from now on."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        out = []
+        for k in keys:
+            if k not in young:
+                v = old.get(k)
+                if v is None:
+                    out.append(k)
+                else:
+                    young[k] = v
+        return out
+
+
 class Ranks:
     """Token ranks and the replay of merges."""
 
@@ -75,8 +114,7 @@ class Ranks:
             self.bytes[rank] = token
         self.single = np.array([ranks.get(bytes([i]), 0) for i in range(256)], dtype=np.int64)
         self.joined: dict[int, int] = {}
-        self.known: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.known, self.spaced, self.words = Cache(), Cache(), Cache()
 
     @classmethod
     def read(cls, path: str, pattern: str) -> Ranks:
@@ -181,47 +219,47 @@ class Ranks:
         distinct, which = np.unique(a << 32 | b, return_inverse=True)
         return np.array([self._join(x >> 32, x & 0xFFFFFFFF) for x in distinct.tolist()], dtype=np.int64)[which]
 
-    def _learn(self, new: set[str], spaced: bool) -> None:
-        """Puts the ids of new units into the cache; a unit is cut by the pattern first."""
-        units = list(new)
-        found = [self.find(f" {u}" if spaced else u) for u in units]
-        words = {w: b"" for f in found for w in f}
-        whole = {w: self.ranks.get(w.encode()) for w in words}
-        rest = [w for w, r in whole.items() if r is None]
-        words.update((w, r.to_bytes(4, "little")) for w, r in whole.items() if r is not None)
+    def _learn(self, keys: set[str], cache: Cache, space: str) -> None:
+        """Sees to it that the ids of these units are in the cache; a unit is cut by the pattern, and words that are
+        new are replayed together."""
+        units = cache.missing(keys)
+        found = [unit_words(space + u, self.find) for u in units]
+        new = self.words.missing({w for f in found for w in f})
+        whole = [self.ranks.get(w.encode()) for w in new]
+        words = self.words.young
+        words.update((w, r.to_bytes(4, "little")) for w, r in zip(new, whole, strict=True) if r is not None)
+        rest = [w for w, r in zip(new, whole, strict=True) if r is None]
         words.update(zip(rest, self.replay([w.encode() for w in rest]), strict=True))
-        cache = self.spaced if spaced else self.known
-        if len(cache) + len(units) > CACHE:
-            cache.clear()
-        cache.update((u, b"".join([words[w] for w in f])) for u, f in zip(units, found, strict=True))
+        cache.young.update((u, b"".join([words[w] for w in f])) for u, f in zip(units, found, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = []
+        cut: list[tuple | None] = []
+        first: set[str] = set()
+        other: set[str] = set()
         for t in texts:
             for p in pieces(t):
-                cut.append((None, self.find(p)) if _ODD.search(p) else (p.split(" "), None))
+                if odd(p):
+                    words = self.find(p)
+                    first.update(words)
+                    cut.append((words, ()))
+                else:
+                    head, *tail = p.split(" ")
+                    first.add(head)
+                    other.update(tail)
+                    cut.append(((head,), tail))
             cut.append(None)
-        first = {c[0][0] for c in cut if c and c[0] is not None} | {w for c in cut if c and c[1] is not None for w in c[1]}
-        other = {u for c in cut if c and c[0] is not None for u in c[0][1:]}
-        for need, cache, spaced in ((first, self.known, False), (other, self.spaced, True)):
-            need -= cache.keys()
-            if need:
-                self._learn(need, spaced)
-        if any(x not in self.known for x in first) or any(x not in self.spaced for x in other):  # the cache was emptied
-            for need, cache, spaced in ((first, self.known, False), (other, self.spaced, True)):
-                self._learn({x for x in need if x not in cache}, spaced)
+        self._learn(first, self.known, "")
+        self._learn(other, self.spaced, " ")
         out, now = [], []
-        known, spaced_ids = self.known, self.spaced
+        known, spaced = self.known.young, self.spaced.young
         for c in cut:
             if c is None:
                 out.append(b"".join(now))
                 now = []
-            elif c[0] is None:
-                now.extend([known[w] for w in c[1]])
             else:
-                now.append(known[c[0][0]])
-                now.extend([spaced_ids[u] for u in c[0][1:]])
+                now.extend([known[w] for w in c[0]])
+                now.extend([spaced[u] for u in c[1]])
         return out
 
     def decode(self, ids: bytes) -> bytes:
@@ -256,22 +294,17 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: list[str],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = ranks_of(path, pattern)
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                ids: list[bytes] = []
-                rows: list[tuple[str, str]] = []
-                for block in blocks([t or "" for t in part.column(0).to_pylist()]):
-                    got = ranks.encode(block)
-                    if digests:
-                        rows.extend((hashlib.sha256(x).hexdigest(), hashlib.sha256(ranks.decode(x)).hexdigest()) for x in got)
-                        ids.extend(len(x) // 4 for x in got)
-                    else:
-                        ids.extend(got)
+            at = 0
+            for block in blocks([t or "" for t in b.column(0).to_pylist()]):
+                ids = ranks.encode(block)
+                more = {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
                 if digests:
-                    more = {"n_tokens": pa.array(ids, pa.int64()), "ids_sha256": pa.array([r[0] for r in rows], pa.string()), "decoded_sha256": pa.array([r[1] for r in rows], pa.string())}
+                    more["ids_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string())
+                    more["decoded_sha256"] = pa.array([hashlib.sha256(ranks.decode(x)).hexdigest() for x in ids], pa.string())
                 else:
-                    more = {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *more.values()], names=[*part.schema.names[1:], *more])
+                    more["ids"] = pa.array(ids, pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(block)) for c in b.columns[1:]), *more.values()], names=[*b.schema.names[1:], *more])
+                at += len(block)
 
     tail = "ids_sha256 string, decoded_sha256 string" if digests else "ids binary"
     return docs.select("text", *keep).mapInArrow(run, f"{fields}, n_tokens long, {tail}")

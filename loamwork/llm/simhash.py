@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, fresh, table, written
@@ -114,28 +114,31 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return edges.filter("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row for each row of `docs`: key, fp, component_id (the least key reachable)."""
-    slim = written(fingerprints(docs, [key], shingle), "fingerprints")
+def _grouped(slim: DataFrame, key: str, radius: int) -> DataFrame:
+    """`slim(fp, key, ...)` with fp_root, the least fingerprint of the component, and component_id, its least key."""
     least = written(slim.groupBy("fp").agg(F.min(key).alias("least")), "distinct_fingerprints")
     roots = components(links(least.select("fp"), radius))
-    named = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = written(named.join(ids, "root").select("fp", "component_id"), "fingerprint_components")
+    named = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("fp_root"))
+    ids = named.groupBy("fp_root").agg(F.min("least").alias("component_id"))
+    by_fp = written(named.join(ids, "fp_root").select("fp", "fp_root", "component_id"), "fingerprint_components")
     return slim.join(by_fp, "fp")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """One row of each group, with the columns of `docs`: the row of the least key, ties by the least text."""
-    part = near_duplicates(docs, key, **options).filter(F.col(key).eqNullSafe(F.col("component_id"))).select(key).distinct()
-    cols = docs.columns
-    nth, = fresh(docs, "nth")
-    kept = docs.join(part.select(F.col(key).alias("kept_key")), docs[key].eqNullSafe(F.col("kept_key"))).drop("kept_key")
-    # rows that share a key are copies of one another or ties; the row with the least content stays
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key).orderBy(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    return kept.withColumn(nth, F.row_number().over(w)).filter(F.col(nth) == 1).select(*cols)
+def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row for each row of `docs`: key, fp, component_id (the least key reachable)."""
+    return _grouped(written(fingerprints(docs, [key], shingle), "fingerprints"), key, radius).drop("fp_root")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of each group, with the columns of `docs`: that of the least key (null last), ties by a hash of the row's
+    key and text. The texts are shuffled once, by that hash."""
+    names = docs.columns
+    row, nth = fresh(docs, "row_hash", "nth")
+    hashed = docs.withColumn(row, F.xxhash64(F.col(key).isNull(), F.col(key), F.coalesce("text", F.lit(""))))
+    groups = _grouped(written(fingerprints(hashed, [key, row], shingle), "fingerprints"), key, radius)
+    kept = groups.groupBy("fp_root").agg(F.min(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), F.col(row).alias("row"))).alias("r")).select(F.col("r.row").alias(row)).distinct()
+    w = Window.partitionBy(row).orderBy(row)  # rows alike in key and text
+    return hashed.join(written(kept, "kept_rows"), row).withColumn(nth, F.row_number().over(w)).filter(F.col(nth) == 1).select(*names)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh, table, written
 
-LENGTH, GRAM, BUCKET = 200, 32, 2000
-#: Bytes of text worked on at once.
+LENGTH, GRAM, BUCKET = 200, 32, 7000
+#: Bytes of text worked on at once; BUCKET contexts are about as many bytes.
 BLOCK = 2_000_000
 
 _rng = np.random.default_rng(20240501)

@@ -13,24 +13,27 @@ columns are not read.
 
 from __future__ import annotations
 
+import json
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import _ODD, blocks, pieces
+from .bpe import Cache, blocks, odd, pieces, portable, unit_words
 from .common import shared_dir, table, written
 
 #: The longest code; 2^MAX_BITS entries make the decoding table.
 MAX_BITS = 20
 #: Symbols between checkpoints, and symbols a block has at least (its last document may pass that).
 STEP, BLOCK_IDS = 256, 1 << 16
-CACHE = 300_000
 
 
 # --- the code ---------------------------------------------------------------------------------------------------------
@@ -131,8 +134,20 @@ def _code(book: bytes) -> Code:
 # --- tokens -----------------------------------------------------------------------------------------------------------
 
 
+#: How the library's byte-level pre-tokenizer splits text before merges.
+_BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """The tokenizers library behind a cache of units that no match can cross."""
+    """The tokenizers library behind caches. A text is cut into units that no match can cross; a byte-level BPE is
+    asked for the words of new units, any other kind of tokenizer for whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -141,31 +156,41 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, units: list[str]) -> None:
-        if len(self.known) + len(units) > CACHE:
-            self.known.clear()
-        for i in range(0, len(units), 4096):
-            part = units[i : i + 4096]
-            self.known.update((u, np.array(e.ids, dtype=self.dtype).tobytes()) for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
+        spec = json.loads(self.tokenizer.to_str())
+        pre = spec.get("pre_tokenizer") or {}
+        self.by_words = (
+            spec["model"].get("type") == "BPE" and not spec["model"].get("dropout") and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
+            and pre.get("use_regex", True) and all(t["special"] for t in spec.get("added_tokens", []))
+        )
+        self.find = regex.compile(portable(_BYTE_LEVEL)).findall
+        self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        self.units, self.words = Cache(), Cache()
+
+    def _learn(self, keys: set[str]) -> None:
+        units = self.units.missing(keys)
+        found = [unit_words(u, self.find) for u in units]
+        new = self.words.missing({w for f in found for w in f})
+        tokenize, letters, code, words = self.tokenizer.model.tokenize, self.letters, "H" if self.dtype.itemsize == 2 else "I", self.words.young
+        for w in new:
+            ids = array(code, [t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))])
+            if sys.byteorder != "little":
+                ids.byteswap()
+            words[w] = ids.tobytes()
+        self.units.young.update((u, b"".join([words[w] for w in f])) for u, f in zip(units, found, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         cut: list[list[str] | None] = []
         need: set[str] = set()
         for t in texts:
             for p in pieces(t):
-                # a text whose spaces are not all single goes to the library as it is
-                units = [p] if _ODD.search(p) else p.replace(" ", "\0 ").split("\0") if "\0" not in p else [p]
+                units = self.find(p) if "\0" in p or odd(p) else p.replace(" ", "\0 ").split("\0")
                 cut.append(units)
                 need.update(units)
             cut.append(None)
-        new = [u for u in need if u not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(need)
-        self._learn(new)
-        out, now, known = [], [], self.known
+        self._learn(need)
+        out, now, known = [], [], self.units.young
         for units in cut:
             if units is None:
                 out.append(b"".join(now))
@@ -191,12 +216,11 @@ def tokenized(docs: DataFrame, path: str, end_id: int, wide: bool) -> DataFrame:
         to = np.dtype("<u4" if wide else "<u2")
         end = np.array([end_id], dtype=to).tobytes()
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                ids: list[bytes] = []
-                for block in blocks([t or "" for t in part.column(1).to_pylist()]):
-                    ids.extend((x if enc.dtype == to else np.frombuffer(x, dtype=enc.dtype).astype(to).tobytes()) + end for x in enc.encode(block))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            at = 0
+            for block in blocks([t or "" for t in b.column(1).to_pylist()]):
+                ids = [(x if enc.dtype == to else np.frombuffer(x, dtype=enc.dtype).astype(to).tobytes()) + end for x in enc.encode(block)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(block)), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+                at += len(block)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")
