@@ -6,17 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEASONS = ["Winter", "Spring", "Summer", "Fall"]
-_TERM = r"^(Winter|Spring|Summer|Fall) ([0-9]{4})$"
+TERM = r"^(Winter|Spring|Summer|Fall) ([0-9]{4})$"
 
 
 def parse_term(term: Column) -> Column:
     """struct(year, season) of `Season YYYY`, which sorts in time order; null for anything else."""
     t = F.trim(term)
-    return F.when(t.rlike(_TERM), F.struct(F.regexp_extract(t, _TERM, 2).try_cast("int").alias("year"), (F.array_position(F.array(*map(F.lit, SEASONS)), F.regexp_extract(t, _TERM, 1)) - 1).cast("int").alias("season")))
+    return F.when(t.rlike(TERM), F.struct(F.regexp_extract(t, TERM, 2).try_cast("int").alias("year"), (F.array_position(F.array(*map(F.lit, SEASONS)), F.regexp_extract(t, TERM, 1)) - 1).cast("int").alias("season")))
 
 
 def is_valid_term(term: Column) -> Column:
-    return (term == "evergreen") | term.rlike(_TERM)
+    return (term == "evergreen") | term.rlike(TERM)
 
 
 def is_current(term: Column, current: Column) -> Column:
@@ -44,6 +44,9 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def answer_violations(answers: DataFrame) -> DataFrame:
     """`answers(citations, escalated, department, ...)`: those that break the rule that an answer either cites or is
-    escalated to a department, never both, never neither, and no escalation without a department."""
-    cited, sent = F.size("citations") > 0, F.col("escalated") & F.col("department").isNotNull()
-    return answers.withColumn("violation", F.when(F.col("escalated") & F.col("department").isNull(), "escalated_without_department").when(cited & sent, "both").when(~cited & ~sent, "neither")).filter("violation is not null")
+    escalated to a department, never both, never neither, and no escalation without a department. Nulls count as no
+    citation and not escalated."""
+    cited, escalated = F.coalesce(F.size("citations"), F.lit(0)) > 0, F.coalesce("escalated", F.lit(False))
+    sent = escalated & F.col("department").isNotNull()
+    kind = F.when(escalated & F.col("department").isNull(), "escalated_without_department").when(cited & sent, "both").when(~cited & ~sent, "neither")
+    return answers.withColumn("violation", kind).filter("violation is not null")

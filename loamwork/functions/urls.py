@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
+from urllib.parse import parse_qsl, urlencode, urljoin, urlparse, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SKIPPED = ("mailto:", "tel:", "javascript:", "#")
 TRACKING = ("utm_", "fbclid", "gclid", "mc_")
@@ -29,7 +30,20 @@ def normalized(url: str | None, base: str | None = None) -> str | None:
     return urlunsplit((parts.scheme, parts.netloc, parts.path, urlencode(kept), ""))
 
 
-@F.pandas_udf("string")
+def _site(url: str) -> str:
+    host = (urlsplit(url).hostname or "").lower()
+    return ".".join(host.split(".")[-2:])
+
+
+def classified(hrefs: list[str], base: str) -> tuple[list[str], list[str]]:
+    """(pages of the same site, PDFs of any site): normal forms, each once, in order, without the page itself."""
+    own = normalized(base) or base
+    found = dict.fromkeys(u for u in (normalized(h, base) for h in hrefs) if u and u != own)
+    pdf = {u: urlparse(u).path.lower().endswith(".pdf") for u in found}
+    return [u for u in found if not pdf[u] and _site(u) == _site(base)], [u for u in found if pdf[u]]
+
+
+@F.pandas_udf(T.StringType())
 def normalize_url(url: pd.Series, base: pd.Series) -> pd.Series:
     """The general case, relative URLs included; Arrow batches over the standard library."""
     return pd.Series([normalized(u, b) for u, b in zip(url, base, strict=True)], dtype=object)
@@ -58,7 +72,8 @@ def site_of(url: Column) -> Column:
 
 def is_pdf_url(url: Column) -> Column:
     """Whether the path, the query left out, ends with .pdf in any case."""
-    return F.coalesce(F.lower(F.try_parse_url(url, F.lit("PATH"))).endswith(".pdf"), F.lit(False))
+    path = F.regexp_replace(F.try_parse_url(url, F.lit("PATH")), r";[^/]*$", "")
+    return F.coalesce(F.lower(path).endswith(".pdf"), F.lit(False))
 
 
 def classify_links(links: DataFrame) -> DataFrame:
