@@ -32,7 +32,9 @@ def top_k(items: DataFrame, query: list[float], k: int, key: str = "vec_id", vec
 def _unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
     """The rows that are vectors of some length, and these divided by it."""
     at = [i for i, v in enumerate(rows) if v is not None and all(x is not None for x in v)]
-    m = np.array([rows[i] for i in at], dtype=np.float64).reshape(len(at), -1)
+    if not at:
+        return np.zeros(0, dtype=np.int64), np.zeros((0, 0))
+    m = np.array([rows[i] for i in at], dtype=np.float64)
     length = np.sqrt((m * m).sum(axis=1))
     some = length > 0
     return np.array(at, dtype=np.int64)[some], m[some] / length[some, None]
