@@ -52,8 +52,8 @@ def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
         raise ValueError("more symbols than codes")
     order = used[np.argsort(counts[used], kind="stable")]
     weights = counts[order].astype(np.int64)
-    is_leaf, level = [], weights
-    for _ in range(limit):
+    is_leaf, level = [np.ones(n, dtype=bool)], weights
+    for _ in range(limit - 1):
         m = len(level) // 2
         packed = level[: 2 * m : 2] + level[1 : 2 * m : 2]
         merged = np.concatenate([weights, packed])
@@ -62,7 +62,7 @@ def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
         level = merged[by]
     take = 2 * (n - 1)
     lengths = np.zeros(n, dtype=np.int64)
-    # the last list has the packages of all levels; walk back
+    # a list for each bit, the first of leaves alone; from the last one back
     for leaf in reversed(is_leaf):
         k = int(leaf[:take].sum())
         lengths[:k] += 1
