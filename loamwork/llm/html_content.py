@@ -41,12 +41,18 @@ _WORDS = set(
     "banner cookie cookies consent gdpr notice notices alert popup modal overlay subscribe subscription newsletter signup login share sharing social comment comments commentlist disqus reply replies respond response responses discussion "
     "related recommended recommendations trending widget widgets toolbar skip copyright disclaimer feedback hidden".split()
 )
+#: Whole class names and ids of what stands above all of a site's pages.
+_ABOVE = set("header site-header siteheader main-header global-header topbar top-bar site-title branding".split())
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "form", "menu", "menubar"}
 #: Elements whose class or id is never taken for a sign of something else.
 _TRUSTED = {"html", "body", "main", "article"} | _HEADING | {"p"}
 #: A start tag of the key closes an open element of the value.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "thead": {"thead", "tbody"}, "tfoot": {"tbody", "tr", "td", "th"}}
 _SCOPE = {"ul", "ol", "dl", "table", "div", "section", "article", "body", "html", "main", "aside", "nav", "footer", "header", "form", "td", "th", "blockquote", "details", "figure"}
+#: Elements nested deeper are read as if they stood beside each other.
+DEPTH = 512
+#: Lists of links whose texts are shorter on average are menus, in characters.
+MENU_TEXT = 20
 #: How far the smoothing reaches, the threshold as a share of the mean fused ratio, and the share of content text that a content node holds.
 KERNEL, THRESHOLD, HOLD = (0.25, 0.5, 0.25), 0.3, 0.75
 
@@ -56,13 +62,13 @@ class _Node:
 
     def __init__(self, tag: str, parent: _Node | None, label: str, drop: bool, soft: bool):
         self.tag, self.parent = tag, parent
-        self.path = f"{parent.path}/{label}" if parent else label
+        self.path = hash((parent.path if parent else None, label))  # equal tag paths have equal numbers
         self.drop = drop or bool(parent and parent.drop)
         self.soft = soft or bool(parent and parent.soft)
         self.heading, self.text, self.score = False, 0, 0.0
 
 
-def _says(tag: str, attrs: str) -> tuple[str, bool, bool]:
+def _says(tag: str, attrs: str, in_article: bool) -> tuple[str, bool, bool]:
     """The path label, and whether the element is hidden or by its role, or by its class or id, something else."""
     if not attrs or not attrs.strip(" /\n\t\r"):
         return tag, False, False
@@ -73,6 +79,7 @@ def _says(tag: str, attrs: str) -> tuple[str, bool, bool]:
     hard = "hidden" in got or got.get("aria-hidden", "").lower() == "true" or got.get("role", "").lower() in _ROLES or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", got.get("style", "").lower()))
     soft = False
     for name in names.split():
+        soft = soft or name.lower() in _ABOVE and not in_article
         parts = [p.lower() for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+", name)]
         if parts and parts[0] not in ("no", "has", "with", "without") and any(p in _WORDS for p in parts):
             soft = True
@@ -94,6 +101,7 @@ def _blocks(page: str) -> list[_Block]:
     held: list[str] = []
     owner, anchors, linked = root, 0, 0
     in_article = 0
+    flat: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal held, linked
@@ -148,6 +156,11 @@ def _blocks(page: str) -> list[_Block]:
             if tag == "br":
                 put(" ")
                 continue
+            if flat.get(tag):
+                flat[tag] -= 1
+                if tag in _BLOCK:
+                    flush()
+                continue
             if tag in _BLOCK:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
@@ -197,7 +210,10 @@ def _blocks(page: str) -> list[_Block]:
                 pop_to(len(stack) - 1)
         if tag in ("html", "body") and any(n.tag == tag for n in stack[1:]) or tag == "html":
             continue
-        label, hard, soft = _says(tag, attrs)
+        if len(stack) >= DEPTH:
+            flat[tag] = flat.get(tag, 0) + 1
+            continue
+        label, hard, soft = _says(tag, attrs, in_article > 0)
         drop = hard or tag in _DROP or tag == "header" and not in_article
         node = _Node(tag, stack[-1], label, drop, soft and tag not in _TRUSTED)
         stack.append(node)
@@ -256,14 +272,17 @@ def extract(page: str | None) -> str:
         if n.parent is not None:
             children.setdefault(id(n.parent), []).append(n)
     at = next(n for n in nodes.values() if n.parent is None)
+    cells = [n for n in nodes.values() if n.tag == "td" and sum(c.tag in ("p", "div", "section") or c.tag in _HEADING for c in children.get(id(n), [])) > 1]
     while at.tag not in ("article", "main"):
         inner = [n for n in children.get(id(at), []) if n.tag in _SCOPE and n.tag not in ("ul", "ol", "dl", "table", "td", "th", "blockquote", "details", "figure") and held[id(n)] >= HOLD * total]
+        if not inner:  # a table that lays out the page has one cell with the text
+            inner = [n for n in children.get(id(at), []) if n.tag in ("table", "tbody", "tr", "td", "center") and held[id(n)] >= HOLD * total and any(held[id(c)] >= HOLD * total for c in cells if n.tag != "td" or c is n)]
         if not total or not inner:
             break
         lost = any(n.heading and n is not inner[0] or n.tag in ("h1", "h2") for n in children[id(at)])
         if lost and inner[0].tag not in ("article", "main") and at.tag not in ("html", "body"):
             break
-        if lost and at.tag in ("html", "body") and inner[0].tag not in ("article", "main", "div", "section"):
+        if lost and at.tag in ("html", "body") and inner[0].tag not in ("article", "main", "div", "section", "table", "center"):
             break
         at = inner[0]
     if at.tag == "main":  # an article within it that holds the text
@@ -297,7 +316,7 @@ def extract(page: str | None) -> str:
         n = b.node
         while n is not None and n.tag not in ("ul", "ol"):
             n = n.parent
-        if n is not None and (s := lists[id(n)])[0] >= 3 and s[2] >= 0.9 * s[1]:
+        if n is not None and (s := lists[id(n)])[0] >= 3 and s[2] >= 0.9 * s[1] and s[1] < MENU_TEXT * s[0]:
             continue
         if within(b.node):
             out.append(b.text)
