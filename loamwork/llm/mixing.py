@@ -51,7 +51,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, max
     while True:
         full = F.lit(level) * F.col("weight") >= cap if capped >= 0 else F.lit(False)
         n, held, open_ = s.agg(F.count_if(full), F.sum(F.when(full, cap)), F.sum(F.when(~full, F.col("weight")))).first()
-        if n == capped or not open_:
+        if n <= capped or not open_:  # rounding may bring a source that is just full below its limit again
             break
         level, capped = (share * total - (held or 0.0)) / open_, n
     target = F.when(F.lit(level) * F.col("weight") >= cap, cap).otherwise(F.lit(level) * F.col("weight"))
