@@ -7,7 +7,8 @@ fewer than `min_chars` characters or `min_words` words decides nothing, and the
 
 Defined results: a null text has no words and fails the base rule; a null or unknown language is compared with the
 reference of all documents by character classes alone; repeated rows are judged alike; an empty table gives an empty
-result; input columns of the same name as a result column are not read.
+result; input columns of the same name as a result column are not read; a language of which no document is fit for a
+reference decides nothing (distance 0).
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ def references(features: DataFrame, limits: dict = LIMITS) -> DataFrame:
 
 
 def js_distance(p: str, q: str) -> Column:
-    """The Jensen-Shannon distance of two arrays of counts; 0 if either is empty of counts."""
+    """The Jensen-Shannon distance of two arrays of counts; 0 if either is empty of counts, or null."""
     total = lambda x: f"cast(aggregate({x}, 0L, (s, v) -> s + v) as double)"
     part = "if(x.a = 0, 0D, x.a * log2(2 * x.a / (x.a + x.b))) + if(x.b = 0, 0D, x.b * log2(2 * x.b / (x.a + x.b)))"
     return F.expr(

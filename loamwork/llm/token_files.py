@@ -23,17 +23,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Cache, blocks, odd, pieces, portable, unit_words
+from .bpe import CACHE, Cache, blocks, odd, pieces, portable
 from .common import shared_dir, table, written
 
 #: The longest code; 2^MAX_BITS entries make the decoding table.
 MAX_BITS = 20
 #: Symbols between checkpoints, and symbols a block has at least (its last document may pass that).
 STEP, BLOCK_IDS = 256, 1 << 16
+#: Characters of text that are encoded together.
+BLOCK = 8_000_000
 
 
 # --- the code ---------------------------------------------------------------------------------------------------------
@@ -164,40 +167,73 @@ class Encoder:
         )
         self.find = regex.compile(portable(_BYTE_LEVEL)).findall
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-        self.units, self.words = Cache(), Cache()
-
-    def _learn(self, keys: set[str]) -> None:
-        units = self.units.missing(keys)
-        found = [unit_words(u, self.find) for u in units]
-        new = self.words.missing({w for f in found for w in f})
-        tokenize, letters, code, words = self.tokenizer.model.tokenize, self.letters, "H" if self.dtype.itemsize == 2 else "I", self.words.young
-        for w in new:
-            ids = array(code, [t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))])
-            if sys.byteorder != "little":
-                ids.byteswap()
-            words[w] = ids.tobytes()
-        self.units.young.update((u, b"".join([words[w] for w in f])) for u, f in zip(units, found, strict=True))
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.units, self.words = Cache(), {}
+        self.marks = {m: self._ids(m) for m in ".,"} if self.by_words else {}
+
+    def _ids(self, word: str) -> bytes:
+        letters = word.replace(" ", self.letters[32]) if word.isascii() and word[-1:].isalpha() else word.encode().decode("latin-1").translate(self.letters)
+        ids = array(self.code, [t.id for t in self.tokenizer.model.tokenize(letters)])
+        if sys.byteorder != "little":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) > CACHE:
+                self.words.clear()
+            ids = self.words[word] = self._ids(word)
+        return ids
+
+    def _learn(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit. Most are a word, or a word and a mark, and a word is kept as the unit that it is."""
+        new = self.units.missing(units)
+        known = self.units.young
+        for u in new:
+            bare = u[1:] if u[:1] == " " else u
+            if bare.isalpha():
+                if u not in known:
+                    known[u] = self._ids(u)
+            elif bare[-1:] in self.marks and bare[:-1].isalpha():
+                word = known.get(u[:-1])
+                if word is None:
+                    word = known[u[:-1]] = self._ids(u[:-1])
+                known[u] = word + self.marks[bare[-1]]
+            else:
+                known[u] = b"".join(map(self._word, self.find(u)))
+        return [known[u] for u in units]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Texts are cut at spaces and their units made distinct outside Python, which sees each
+        unit of a block once."""
         if not self.by_words:
             return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        cut: list[list[str] | None] = []
-        need: set[str] = set()
+        plain: list[str] = []
+        parts: list[list[int | bytes]] = []
         for t in texts:
+            parts.append([])
             for p in pieces(t):
-                units = self.find(p) if "\0" in p or odd(p) else p.replace(" ", "\0 ").split("\0")
-                cut.append(units)
-                need.update(units)
-            cut.append(None)
-        self._learn(need)
-        out, now, known = [], [], self.units.young
-        for units in cut:
-            if units is None:
-                out.append(b"".join(now))
-                now = []
-            else:
-                now.extend([known[u] for u in units])
-        return out
+                if odd(p):
+                    parts[-1].append(b"".join(map(self._word, self.find(p))))
+                else:
+                    parts[-1].append(len(plain))
+                    plain.append(p)
+        cut = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        coded = cut.values.dictionary_encode()
+        starts, index, names = cut.offsets.to_numpy(), coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        heads = self._learn([names[i] for i in index[starts[:-1]].tolist()])
+        spaced = np.zeros(len(names), dtype=bool)  # those that follow a space somewhere
+        after = np.ones(len(index), dtype=bool)
+        after[starts[:-1]] = False
+        spaced[index[after]] = True
+        at = np.flatnonzero(spaced).tolist()
+        ids: list[bytes] = [b""] * len(names)
+        for i, x in zip(at, self._learn([f" {names[i]}" for i in at]), strict=True):
+            ids[i] = x
+        find, index, starts = ids.__getitem__, index.tolist(), starts.tolist()
+        whole = lambda k: heads[k] + b"".join(map(find, index[starts[k] + 1 : starts[k + 1]]))
+        return [b"".join([x if isinstance(x, bytes) else whole(x) for x in p]) for p in parts]
 
 
 @lru_cache(maxsize=2)
@@ -217,7 +253,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, wide: bool) -> DataFrame:
         end = np.array([end_id], dtype=to).tobytes()
         for b in batches:
             at = 0
-            for block in blocks([t or "" for t in b.column(1).to_pylist()]):
+            for block in blocks([t or "" for t in b.column(1).to_pylist()], BLOCK):
                 ids = [(x if enc.dtype == to else np.frombuffer(x, dtype=enc.dtype).astype(to).tobytes()) + end for x in enc.encode(block)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(block)), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
                 at += len(block)
