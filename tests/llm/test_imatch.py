@@ -60,7 +60,7 @@ def test_repeats_one_and_none(spark, docs, as_table):
 
 def test_lexicon_is_bounded(spark, docs):
     rows = docs(*((i, " ".join(f"w{i * j % 97}" for j in range(40))) for i in range(60)))
-    assert 0 < len(imatch.lexicon(rows, 0.0, 1.0, 10)) <= 10
+    assert len(imatch.lexicon(rows, 0.0, 1.0, 10)) <= 10
     df = {}
     for i in range(60):
         for w in {f"w{i * j % 97}" for j in range(40)}:
