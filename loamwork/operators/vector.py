@@ -89,11 +89,11 @@ def wrong_dimensions(items: DataFrame, dim: int, vector: str = "embedding") -> D
 
 
 def search_text(sparse: DataFrame, query: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
-    """The k documents nearest to a text, both as sparse counts `(key, bucket, n)` and `(bucket, n)`: a join on the
-    bucket, so documents that share no word with the query are not touched."""
-    q = query.select("bucket", F.col("n").alias("qn"))
-    q_norm = query.agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("q_norm"))
-    norms = sparse.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    dots = sparse.join(q, "bucket").groupBy(key).agg(F.sum(F.col("n") * F.col("qn")).alias("dot"))
-    length = q_norm.first()[0] or 0.0
-    return dots.join(norms, key).select(key, (1 - F.try_divide(F.col("dot"), F.col("norm") * F.lit(length))).alias("distance")).orderBy("distance", key).limit(k)
+    """The k documents nearest to a text, both as sparse counts `(key, bucket, n)` and `(bucket, n)`. The query has a row
+    for each bucket at most, so it is broadcast; lengths and products come from one pass over the counts. Documents that
+    share no word with the query are left out."""
+    q = query.groupBy("bucket").agg(F.sum("n").alias("qn"))
+    length = query.agg(F.sqrt(F.sum(F.col("n") * F.col("n")))).first()[0] or 0.0
+    both = sparse.join(F.broadcast(q), "bucket", "left").groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"), F.sum(F.col("n") * F.col("qn")).alias("dot"))
+    distance = 1 - F.try_divide(F.col("dot"), F.col("norm") * F.lit(length))
+    return both.filter("dot is not null").select(key, distance.alias("distance")).orderBy("distance", key).limit(k)
