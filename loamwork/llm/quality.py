@@ -107,19 +107,13 @@ def judged(features: DataFrame, limits: dict = LIMITS) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, limits: dict = LIMITS) -> DataFrame:
-    """The rows of `docs` that the rules keep, with its columns. The texts are not shuffled: the verdict is computed in
-    the row, against references that come from a first pass over the counts alone."""
+    """The rows of `docs` that the rules keep, with its columns. Nothing is shuffled: rows are written once beside their
+    counts, the references come from the counts alone, and the verdict is read off the written row."""
     names = docs.columns
-    row, feats = fresh(docs, "q_row", "q_feats")
-    first = written(base_features(docs, []).select("q_lang", "base_failed", "q_len", "n_words", "q_class", "q_word"), "quality")
-    refs = written(references(first, limits), "quality_refs")
+    row, = fresh(docs, "q_row")
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias(row), "text", "lang")
-    f = base_features(packed, [row])
-    out = f.join(F.broadcast(refs), f["q_lang"].eqNullSafe(refs["ref_lang"]), "left")
-    out = out.withColumns({"class_distance": js_distance("q_class", "ref_class"), "word_distance": js_distance("q_word", "ref_word")})
-    far_class = (F.col("q_len") >= limits["min_chars"]) & (F.coalesce("class_distance", F.lit(0.0)) > limits["max_class_distance"])
-    far_word = F.col("q_lang").isNotNull() & (F.col("n_words") >= limits["min_words"]) & (F.coalesce("word_distance", F.lit(0.0)) > limits["max_word_distance"])
-    return out.filter(~F.col("base_failed") & ~far_class & ~far_word).select(*(F.col(row)[c].alias(c) for c in names))
+    features = written(base_features(packed, [row]), "quality")
+    return judged(features, limits).filter("kept").select(*(F.col(row)[c].alias(c) for c in names))
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
