@@ -34,7 +34,7 @@ from .common import shared_dir, table, written
 #: The longest code; 2^MAX_BITS entries make the decoding table.
 MAX_BITS = 20
 #: Symbols between checkpoints, and symbols a block has at least (its last document may pass that).
-STEP, BLOCK_IDS = 256, 1 << 16
+STEP, BLOCK_IDS = 256, 1 << 18
 #: Characters of text that are encoded together, and units kept in each generation of a worker's cache.
 BLOCK, CACHE = 8_000_000, 400_000
 
@@ -84,17 +84,14 @@ class Code:
         self.codes = np.zeros(len(lengths), dtype=np.uint64)
         self.bits = int(lengths.max()) if len(used) else 0
         code, before = 0, 0
-        symbols = np.zeros(1 << self.bits, dtype=np.uint32)
-        sizes = np.zeros(1 << self.bits, dtype=np.uint8)
+        self.table = np.zeros(1 << self.bits, dtype=np.int64)  # for each beginning of a code, the symbol and its size
         for s in order.tolist():
             n = int(lengths[s])
             code <<= n - before
             self.codes[s] = code
             at = code << (self.bits - n)
-            symbols[at : at + (1 << (self.bits - n))] = s
-            sizes[at : at + (1 << (self.bits - n))] = n
+            self.table[at : at + (1 << (self.bits - n))] = s << 6 | n
             code, before = code + 1, n
-        self.symbols, self.sizes = symbols, sizes
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, int, np.ndarray]:
         """The coded bits in big-endian 32-bit words, their number, and a bit offset for each STEP symbols."""
@@ -116,17 +113,16 @@ class Code:
 
     def decode(self, data: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
         """The `n` symbols: one lane for each checkpoint, all lanes a symbol at a time, by table."""
-        words = np.frombuffer(data, dtype=">u4").astype(np.uint64)
-        lanes = len(checkpoints)
-        out = np.zeros((STEP, lanes), dtype=np.uint32)
-        at = np.asarray(checkpoints, dtype=np.int64).copy()
-        mask, last, width = np.uint64((1 << self.bits) - 1), len(words) - 2, np.uint64(64 - self.bits)
+        words = np.r_[np.frombuffer(data, dtype=">u4"), np.zeros(STEP * MAX_BITS // 32 + 2, dtype=np.uint32)].astype(np.int64)
+        pairs = words[:-1] << 32 | words[1:]  # 64 bits from every 32nd on; the last lane may run on into zeros
+        out = np.zeros((STEP, len(checkpoints)), dtype=np.int64)
+        at = np.array(checkpoints, dtype=np.int64)
+        mask, width = (1 << self.bits) - 1, 64 - self.bits
         for i in range(min(STEP, n)):
-            w = np.minimum(at >> 5, last)
-            peek = ((words[w] << np.uint64(32) | words[w + 1]) >> (width - (at & 31).astype(np.uint64))) & mask
-            out[i] = self.symbols[peek]
-            at += self.sizes[peek]
-        return out.T.reshape(-1)[:n]
+            entry = out[i]
+            np.take(self.table, pairs[at >> 5] >> (width - (at & 31)) & mask, out=entry)
+            at += entry & 63
+        return (out.T.reshape(-1)[:n] >> 6).astype("<u4")
 
 
 @lru_cache(maxsize=2)
@@ -277,10 +273,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, where: str) -> Non
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
         for b in batches:
-            for x in b.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x, dtype=width), minlength=size) if len(x) > size else 0
-                if len(x) <= size:
-                    np.add.at(total, np.frombuffer(x, dtype=width), 1)
+            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=width), minlength=size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
@@ -360,7 +353,7 @@ def read_files(spark: SparkSession, where: str) -> DataFrame:
                 _, _, names, sizes, marks, data = (c[i].as_py() for c in b.columns)
                 ids = code.decode(data, np.array(marks), sum(sizes))
                 ends = np.cumsum(sizes)
-                crc = [zlib.crc32(ids[e - n : e].astype("<u4").tobytes()) for e, n in zip(ends.tolist(), sizes, strict=True)]
+                crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), sizes, strict=True)]
                 n = len(names)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([b.column(0)[i].as_py()] * n, pa.int32()), pa.array([b.column(1)[i].as_py()] * n, pa.int64()), pa.array(names, b.schema.field(2).type.value_type), pa.array(ends - np.array(sizes)), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())],
