@@ -32,10 +32,10 @@ _WS = r"\t-\r \x85\xa0  -     　"
 #: A space next to other white space, or at an end of the text: such texts are not cut at spaces.
 _ODD = re.compile(r" (?:\s|$)|\s |^ ")
 _RARE = re.compile(r"[^\S \n]")
-#: Words kept in each generation of a worker's caches; some 200 bytes each.
-CACHE = 400_000
+#: Words kept in each generation of a worker's three caches, some 200 bytes each, and pairs of tokens that are known.
+CACHE, PAIRS = 120_000, 300_000
 #: A block of documents whose words are replayed together, in characters.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 #: Texts longer than this are encoded in pieces.
 LONG = 1_000_000
 
@@ -126,6 +126,8 @@ class Ranks:
         key = a << 32 | b
         r = self.joined.get(key)
         if r is None:
+            if len(self.joined) >= PAIRS:
+                self.joined.clear()
             r = self.joined[key] = self.ranks.get(self.bytes[a] + self.bytes[b], -1)
         return r
 

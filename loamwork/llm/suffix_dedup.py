@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import fresh, table, written
 
 LENGTH, GRAM, BUCKET = 200, 32, 7000
-#: Bytes of text worked on at once; BUCKET contexts are about as many bytes.
-BLOCK = 2_000_000
+#: Bytes of text worked on at once; a bucket of BUCKET contexts holds about twice as many.
+BLOCK = 1_000_000
 
 _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
