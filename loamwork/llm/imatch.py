@@ -9,8 +9,8 @@ density where that is larger (the thin one serves long documents and counts only
 
 A document without terms in the band takes all its terms instead; one without any term, its text's hash.
 
-The lexicon is broadcast as a literal. Its size is bounded: sum of df = documents x mean distinct terms, so at most
-(mean distinct terms / low) terms reach df >= low x documents, and `low` is raised until that is MAX_LEXICON or less.
+The lexicon is every term of the band. Up to MAX_LEXICON terms it goes into the plan as a literal; a larger one stays a
+table, and the documents' terms are joined to it by a shuffle, with the same results.
 
 Defined results: a null text is empty; equal texts have equal fingerprints; documents are ordered by doc_id descending
 (null last, ties by the text's hash); of a single document the next is itself; an empty table gives an empty result;
@@ -38,31 +38,50 @@ def terms(text: Column) -> Column:
     return F.sort_array(F.transform(F.array_distinct(words), lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, limit: int = MAX_LEXICON) -> list[int]:
-    """Hashes of the terms in the band; `limit` of them at most, whatever the corpus."""
+def band(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """(term): the hashes of all terms in the band, a written table."""
     distinct = docs.select(terms(F.coalesce("text", F.lit(""))).alias("t"))
-    counted = written(distinct.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "term_df")
     n = docs.count()
-    total = counted.agg(F.sum("df")).first()[0] or 0
-    if not n or not total:
-        return []
-    low = max(low, total / n / limit)
-    return [r[0] for r in counted.filter((F.col("df") >= low * n) & (F.col("df") <= max(high * n, 1))).select("term").collect()]
+    counted = distinct.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return written(counted.filter((F.col("df") >= low * n) & (F.col("df") <= max(high * n, 1))).select("term"), "lexicon")
+
+
+def listed(words: DataFrame, limit: int) -> list[int]:
+    return [r[0] for r in words.limit(limit).collect()]
+
+
+def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, limit: int = MAX_LEXICON) -> list[int]:
+    """Hashes of the terms in the band: all of them, or any `limit` where there are more."""
+    return listed(band(docs, low, high), limit)
+
+
+def joined(rows: DataFrame, words: DataFrame, names: list[str]) -> DataFrame:
+    """What `selected` does to each column of `names`, for a lexicon of any size."""
+    row = "lexicon_row"
+    rows = written(rows.withColumn(row, F.monotonically_increasing_id()), "lexicon_rows")
+    out = rows
+    for name in names:
+        found = rows.select(row, F.explode(name).alias("term")).join(words, "term", "left_semi").groupBy(row).agg(F.sort_array(F.collect_list("term")).alias("in_lexicon"))
+        out = out.join(found, row, "left").withColumn(name, F.coalesce("in_lexicon", name)).drop("in_lexicon")
+    return out.drop(row)
 
 
 def selected(t: str, words: list[int]) -> Column:
     """Of the array `t` of term hashes, those in the lexicon, or all if none is."""
-    listed = ",".join(f"{w}L" for w in words if w > -(1 << 63))
-    if not listed:
+    if not words:
         return F.col(t)
-    return F.expr(f"transform(array(filter({t}, x -> x in ({listed}))), f -> if(size(f) = 0, {t}, f))[0]")
+    literal = ",".join(f"{w}L" if w > -(1 << 63) else f"(-{(1 << 63) - 1}L - 1L)" for w in words)
+    return F.expr(f"transform(array(filter({t}, x -> x in ({literal}))), f -> if(size(f) = 0, {t}, f))[0]")
 
 
 def fingerprint(chosen: str) -> Column:
     """From an array of the selected terms, ascending, the 128 signatures."""
     one = "if(size({f}) = 0, '0000', lpad(lower(hex(1 + pmod(xxhash64({f}), 65535))), 4, '0'))"
-    dense = f"transform(sequence(0, {SUBSETS - 1}), j -> filter({chosen}, x -> pmod(x, {DENSE}) = j))"
-    thin = f"transform(sequence(0, {SUBSETS - 1}), j -> filter({chosen}, x -> pmod(shiftright(x, 8), {THIN}) = j))"
+    # eights of subsets first, then each subset: a term is looked at 16 times in place of 64
+    split = lambda t, of: f"flatten(transform(sequence(0, {SUBSETS // 8 - 1}), k -> transform(array(filter({t}, x -> {of} div 8 = k)), g -> transform(sequence(0, 7), j -> filter(g, x -> {of} = 8 * k + j)))[0]))"
+    dense = split(chosen, f"pmod(x, {DENSE})")
+    few = f"pmod(shiftright(x, 8), {THIN})"
+    thin = f"transform(array(filter({chosen}, x -> {few} < {SUBSETS})), h -> {split('h', few)})[0]"
     return F.expr(f"array_join(transform(concat({dense}, {thin}), f -> {one.format(f='f')}), '')")
 
 
@@ -94,14 +113,15 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row. A text's
     edited form has its last third replaced by as many characters from the start of the next document. The texts are
     shuffled once, by run; the second window finds its rows where the first left them."""
-    words = lexicon(docs)
+    words = band(docs)
+    some = listed(words, MAX_LEXICON + 1)
     w = Window.partitionBy("run").orderBy("guest", F.desc_nulls_last("doc_id"), "tie")
     a = neighbours(docs).withColumn("next_text", F.lead("text").over(w)).withColumn("n_chars", F.length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     a = a.withColumn("edited", F.when(F.col("guest") == 0, F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third))).otherwise(F.lit("")))
     b = a.select("run", "guest", "doc_id", "tie", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), terms(F.col("text")).alias("t"), terms(F.col("edited")).alias("e"), F.xxhash64("edited").alias("e_hash"))
     b = b.withColumns({"t": F.when(F.size("t") > 0, F.col("t")).otherwise(F.array("tie")), "e": F.when(F.size("e") > 0, F.col("e")).otherwise(F.array("e_hash"))})
-    b = b.withColumns({"t": selected("t", words), "e": selected("e", words)})
+    b = b.withColumns({"t": selected("t", some), "e": selected("e", some)}) if len(some) <= MAX_LEXICON else joined(b, words, ["t", "e"])
     c = b.select("run", "guest", "doc_id", "tie", "n_chars", "edited_sha256", fingerprint("t").alias("fingerprint"), fingerprint("e").alias("edited_fingerprint"))
     c = c.withColumn("next_fingerprint", F.lead("fingerprint").over(w)).filter("guest = 0")
     return c.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))

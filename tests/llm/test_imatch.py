@@ -71,3 +71,27 @@ def test_lexicon_is_bounded(spark, docs):
 def test_native(spark):
     plan = imatch.op9_imatch(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_the_whole_band_is_kept(spark, docs):
+    """Long documents (2,200 distinct terms each) do not narrow the band; 400 terms of all documents are out of it."""
+    common = " ".join(f"all{k}" for k in range(400))
+    rows = docs(*((i, common + " " + " ".join(f"w{k}" for k in range(18_000) if (k * 7 + i) % 10 == 0)) for i in range(60)))
+    assert len(imatch.lexicon(rows)) == 18_000
+
+
+def test_a_large_lexicon_is_joined(spark, docs, monkeypatch):
+    """The same results whether the lexicon is a literal or a table; documents and terms repeat, some have none of it."""
+    rows = docs(*((i // 2, " ".join(f"w{i * j % 197}" for j in range(i % 30))) for i in range(60)), (None, None), (3, "!?"), (99, "the"))
+    want = sorted(map(repr, imatch.fingerprint_report(rows).collect()))
+    monkeypatch.setattr(imatch, "MAX_LEXICON", 5)
+    assert sorted(map(repr, imatch.fingerprint_report(rows).collect())) == want
+
+
+def test_signatures(spark):
+    """Each subset's signature, from the definition."""
+    words = sorted([-(1 << 63), -1, 0, 63, 64, 16_383, (1 << 63) - 1, *(i * 0x9E3779B97F4A7C15 % (1 << 64) - (1 << 63) for i in range(500))])
+    got = spark.createDataFrame([(words,)], "t array<long>").select(imatch.fingerprint("t")).first()[0]
+    parts = [[x for x in words if x % 64 == j] for j in range(64)] + [[x for x in words if (x >> 8) % 1024 == j] for j in range(64)]
+    hashes = [r[0] for r in spark.createDataFrame(list(enumerate(parts)), "j int, f array<long>").orderBy("j").selectExpr("lpad(lower(hex(1 + pmod(xxhash64(f), 65535))), 4, '0')").collect()]
+    assert got == "".join(h if p else "0000" for h, p in zip(hashes, parts, strict=True))
