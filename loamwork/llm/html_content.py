@@ -6,7 +6,10 @@ weighted by its punctuation for each block and by the share of text outside link
 smoothed with a Gaussian, fused with the raw ones (geometric mean), and paths above a threshold are content paths (Wu
 et al., "Web content extraction via tag path feature fusion"). The content node is the innermost element that holds
 nearly all content-path text and its headings; its blocks are the article, but for subtrees that say that they are
-something else (menus, adverts, notices, forms, comments and the like).
+something else (menus, adverts, notices, forms, comments and the like). What a class, an id or a form says counts only
+while the subtree holds no more than half of the page's content-path text or an article or main part stands beside it;
+words that articles use for their own parts do not count where the part is text between other content; lists of short
+links stay between content paragraphs.
 
 Defined results: a null or empty page, and one with no text block, gives an empty string; unclosed, misnested and cut
 tags are closed as browsers do for the common cases; repeated rows give repeated results; an empty table gives an empty
@@ -35,15 +38,19 @@ _BLOCK = set(
 )
 _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Never content, whatever they hold.
-_DROP = set("head script style noscript template svg math canvas object iframe nav aside footer form button select textarea input label fieldset dialog menu search audio video map frameset".split())
+_DROP = set("head script style noscript template svg math canvas object iframe nav aside footer button select textarea input label dialog menu search audio video map frameset".split())
 _WORDS = set(
     "nav navbar navigation menu menubar submenu breadcrumb breadcrumbs pagination pager toc sidebar aside footer masthead ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion promoted "
     "banner cookie cookies consent gdpr notice notices alert popup modal overlay subscribe subscription newsletter signup login share sharing social comment comments commentlist disqus reply replies respond response responses discussion "
     "related recommended recommendations trending widget widgets toolbar skip copyright disclaimer feedback hidden".split()
 )
+#: May hold a whole page: not content unless they hold most of it.
+_FORMS = {"form", "fieldset"}
+#: Words that articles use for their own parts as well.
+_VAGUE = set("discussion notice notices alert response responses feedback".split())
 #: Whole class names and ids of what stands above all of a site's pages.
 _ABOVE = set("header site-header siteheader main-header global-header topbar top-bar site-title branding".split())
-_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "form", "menu", "menubar"}
+_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar"}
 #: Elements whose class or id is never taken for a sign of something else.
 _TRUSTED = {"html", "body", "main", "article"} | _HEADING | {"p"}
 #: A start tag of the key closes an open element of the value.
@@ -55,36 +62,41 @@ DEPTH = 512
 MENU_TEXT = 20
 #: How far the smoothing reaches, the threshold as a share of the mean fused ratio, and the share of content text that a content node holds.
 KERNEL, THRESHOLD, HOLD = (0.25, 0.5, 0.25), 0.3, 0.75
+#: The share of content text above which a subtree is content, whatever it says.
+MOST = 0.5
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "path", "drop", "soft", "heading", "text", "score")
+    __slots__ = ("tag", "parent", "path", "drop", "marked", "vague", "heading", "text", "score")
 
-    def __init__(self, tag: str, parent: _Node | None, label: str, drop: bool, soft: bool):
+    def __init__(self, tag: str, parent: _Node | None, label: str, drop: bool, marked: bool, vague: bool = False):
         self.tag, self.parent = tag, parent
         self.path = hash((parent.path if parent else None, label))  # equal tag paths have equal numbers
         self.drop = drop or bool(parent and parent.drop)
-        self.soft = soft or bool(parent and parent.soft)
+        self.marked, self.vague = marked, vague  # by its class, its id or as a form; by vague words alone
         self.heading, self.text, self.score = False, 0, 0.0
 
 
-def _says(tag: str, attrs: str, in_article: bool) -> tuple[str, bool, bool]:
-    """The path label, and whether the element is hidden or by its role, or by its class or id, something else."""
+def _says(tag: str, attrs: str, in_article: bool) -> tuple[str, bool, bool, bool]:
+    """The path label, and whether the element is hidden or by its role, or by its class or id, something else, or only
+    by vague words."""
     if not attrs or not attrs.strip(" /\n\t\r"):
-        return tag, False, False
+        return tag, False, tag in _FORMS, False
     got = {}
     for k, v in _ATTR.findall(attrs):
         got.setdefault(k.lower(), html.unescape(v.strip("\"'")))
     names = f"{got.get('class', '')} {got.get('id', '')}".strip()
     hard = "hidden" in got or got.get("aria-hidden", "").lower() == "true" or got.get("role", "").lower() in _ROLES or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", got.get("style", "").lower()))
-    soft = False
+    soft = tag in _FORMS or got.get("role", "").lower() == "form"
+    vague = False
     for name in names.split():
         soft = soft or name.lower() in _ABOVE and not in_article
         parts = [p.lower() for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+", name)]
         if parts and parts[0] not in ("no", "has", "with", "without") and any(p in _WORDS for p in parts):
-            soft = True
+            vague = vague or all(p in _VAGUE for p in parts if p in _WORDS)
+            soft = soft or any(p in _WORDS - _VAGUE for p in parts)
     first = names.split()[0] if names else ""
-    return (f"{tag}.{first}" if first else tag), hard, soft
+    return (f"{tag}.{first}" if first else tag), hard, soft or vague, vague and not soft
 
 
 class _Block:
@@ -213,9 +225,9 @@ def _blocks(page: str) -> list[_Block]:
         if len(stack) >= DEPTH:
             flat[tag] = flat.get(tag, 0) + 1
             continue
-        label, hard, soft = _says(tag, attrs, in_article > 0)
+        label, hard, soft, vague = _says(tag, attrs, in_article > 0)
         drop = hard or tag in _DROP or tag == "header" and not in_article
-        node = _Node(tag, stack[-1], label, drop, soft and tag not in _TRUSTED)
+        node = _Node(tag, stack[-1], label, drop, soft and tag not in _TRUSTED, vague)
         stack.append(node)
         anchors += tag == "a"
         in_article += tag == "article"
@@ -243,22 +255,71 @@ def _ratios(blocks: list[_Block]) -> list[float]:
     return fused
 
 
+def _paths(blocks: list[_Block]) -> set[int]:
+    """The content paths."""
+    fused = _ratios(blocks)
+    limit = THRESHOLD * sum(fused) / len(fused)
+    return {b.node.path for b, f in zip(blocks, fused, strict=True) if f >= limit and f > 0}
+
+
+def _weight(b: _Block, content: set[int]) -> int:
+    return len(b.text) - b.links if b.node.path in content and b.node.tag not in _HEADING else 0
+
+
+def _unmarked(blocks: list[_Block]) -> list[_Block]:
+    """The blocks that stand in no marked subtree but those that the text shows to be content."""
+    marks: list[list[_Node]] = []
+    homes: set[int] = set()  # articles and main parts that hold blocks without marks
+    for b in blocks:
+        n, own, home = b.node, [], None
+        while n is not None:
+            if n.marked:
+                own.append(n)
+            if n.tag in ("article", "main"):
+                home = id(n)
+            n = n.parent
+        marks.append(own)
+        if home and not own:
+            homes.add(home)
+    if not any(marks):
+        return blocks
+    content = _paths(blocks)
+    weights = [_weight(b, content) for b in blocks]
+    held: dict[int, list[int]] = {}  # content text, all text, first and last block
+    for i, (b, own) in enumerate(zip(blocks, marks, strict=True)):
+        for n in own:
+            h = held.setdefault(id(n), [0, 0, i, i])
+            h[0] += weights[i]
+            h[1] += len(b.text)
+            h[3] = i
+    total = sum(weights)
+    plain = [i for i, own in enumerate(marks) if weights[i] and all(held[id(n)][0] > MOST * total for n in own)]
+
+    def is_content(n: _Node) -> bool:
+        text, whole, first, last = held[id(n)]
+        above, m = set(), n.parent
+        while m is not None:
+            above.add(id(m))
+            m = m.parent
+        return text > MOST * total and homes <= above or n.vague and text > MOST * whole and bool(plain) and plain[0] < first and last < plain[-1]
+
+    return [b for b, own in zip(blocks, marks, strict=True) if all(map(is_content, own))]
+
+
 def extract(page: str | None) -> str:
     """The main text: one line for each block."""
     blocks = _blocks(page or "")
-    kept = [b for b in blocks if not b.node.soft]
+    kept = _unmarked(blocks)
     if not any(len(b.text) > 0 for b in kept):
         kept = blocks
     if not kept:
         return ""
-    fused = _ratios(kept)
-    limit = THRESHOLD * sum(fused) / len(fused)
-    content = {b.node.path for b, f in zip(kept, fused, strict=True) if f >= limit and f > 0}
+    content = _paths(kept)
     total = 0
     held: dict[int, int] = {}
     nodes: dict[int, _Node] = {}
     for b in kept:
-        weight = len(b.text) - b.links if b.node.path in content and b.node.tag not in _HEADING else 0
+        weight = _weight(b, content)
         total += weight
         n: _Node | None = b.node
         while n is not None:
@@ -301,25 +362,29 @@ def extract(page: str | None) -> str:
             n = n.parent
         return False
 
-    lists: dict[int, list[int]] = {}
-    for b in kept:  # lists of links are menus
-        n = b.node
+    def list_of(b: _Block) -> _Node | None:
+        n: _Node | None = b.node
         while n is not None and n.tag not in ("ul", "ol"):
             n = n.parent
+        return n
+
+    lists: dict[int, list[int]] = {}
+    inside = [b for b in kept if within(b.node)]
+    for i, b in enumerate(inside):  # lists of links are menus
+        n = list_of(b)
         if n is not None:
-            s = lists.setdefault(id(n), [0, 0, 0])
+            s = lists.setdefault(id(n), [0, 0, 0, i, i])
             s[0] += 1
             s[1] += len(b.text)
             s[2] += b.links
+            s[4] = i
+    said = [i for i, b in enumerate(inside) if list_of(b) is None and _weight(b, content)]
     out = []
-    for b in kept:
-        n = b.node
-        while n is not None and n.tag not in ("ul", "ol"):
-            n = n.parent
-        if n is not None and (s := lists[id(n)])[0] >= 3 and s[2] >= 0.9 * s[1] and s[1] < MENU_TEXT * s[0]:
+    for b in inside:
+        n = list_of(b)
+        if n is not None and (s := lists[id(n)])[0] >= 3 and s[2] >= 0.9 * s[1] and s[1] < MENU_TEXT * s[0] and not (said and said[0] < s[3] and s[4] < said[-1]):
             continue
-        if within(b.node):
-            out.append(b.text)
+        out.append(b.text)
     return "\n".join(out)
 
 

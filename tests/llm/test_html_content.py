@@ -89,3 +89,28 @@ def test_odd_rows(spark):
     rows = spark.createDataFrame([(1, None, None), (1, "u", "<p>x</p>"), (None, "u", "<p>x</p>"), (1, "u", "<p>x</p>")], "page_id long, url string, html string").withColumnRenamed("url", "TEXT_url")
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in extract_pages(rows, ["page_id", "TEXT_url"]).collect()) == [("1", "", 0), ("1", "x", 1), ("1", "x", 1), ("None", "x", 1)]
     assert extract_pages(rows.limit(0), ["page_id"]).count() == 0
+
+
+LONG = "This is a paragraph of the article, with commas, and a full stop at its end; it goes on for a while."
+
+
+def test_a_page_in_one_form():
+    page = f'<body><form id="aspnetForm"><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><div class="share">Share this</div></form></body>'
+    assert extract(page) == f"Title\n{LONG}\n{LONG}"
+    aside = f"<body><div><p>{LONG}</p><p>{LONG}</p></div><form><p>Write to us, please.</p></form></body>"
+    assert extract(aside) == f"{LONG}\n{LONG}"
+
+
+def test_link_lists_between_paragraphs_stay():
+    links = "<ul>" + "".join(f'<li><a href="/{t}">{t}</a></li>' for t in ("Paris", "Rome", "Oslo", "Bern")) + "</ul>"
+    page = f"<body><article><p>{LONG}</p>{links}<p>{LONG}</p></article></body>"
+    assert extract(page) == f"{LONG}\nParis\nRome\nOslo\nBern\n{LONG}"
+    assert extract(f"<body><article>{links}<p>{LONG}</p><p>{LONG}</p></article></body>") == f"{LONG}\n{LONG}"
+
+
+def test_words_in_classes_and_ids_do_not_drop_content():
+    part = f"<p>{LONG}</p>"
+    wrap = f'<body><p>Top of the page</p><div class="content-sidebar-wrap"><article>{part * 3}</article><div class="sidebar"><p>Elsewhere, more.</p></div></div></body>'
+    assert extract(wrap) == "\n".join([LONG] * 3)
+    paper = f'<body><article>{part}<section id="discussion">{part}</section><div class="notice">{part}</div><div class="newsletter">{part}</div>{part}</article><div id="discussion">{part}</div></body>'
+    assert extract(paper) == "\n".join([LONG] * 4)
