@@ -1,14 +1,14 @@
 """Removal of long repeated substrings by suffix order.
 
-A suffix whose first `length` bytes also start elsewhere is found from the longest-previous-factor array: in suffix
-order, the previous and next smaller positions are the earlier places that share the longest prefix. Sorting all
+A suffix whose first `length` bytes also start elsewhere is found from equality classes of suffixes to that depth, in
+place of a longest-previous-factor array: its class has another member. Sorting all
 suffixes of a corpus in one place does not scale, so the suffixes are bucketed first, by something that equal
 substrings share: the least hash of the 32-byte grams in the first `length` bytes (winnowing, Schleimer, Wilkerson and
 Aiken). A gram that is least in a run of neighbouring windows is their anchor; the bytes those windows cover are the
 anchor's context. Only anchors whose gram occurs twice can hold repeats. Copies of one context are counted, not
 compared, and the suffixes of different contexts of one gram are put in suffix order in the gram's bucket, to depth
 `length`. There, suffixes with a common prefix of `length` stand together, and one has an earlier match of that length
-(its previous or next smaller position reaches it) just if it is not the first of them in text order.
+(its class has an earlier member) just if it is not the first of them in text order.
 
 A bucket with over `bucket` different contexts is not sorted in one task: its windows are dealt out by their own hash
 and counted with map-side combination, which finds the same repeats.
