@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +52,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def runs(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Where runs of about `limit` bytes of text begin and how many texts they have, one at least."""
+    size = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        n = max(1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, side="right")) - at)
+        yield at, n
+        at += n
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of `edges(a, b)`: one row (node, root) for each node that has an edge, root the least
     node reachable. Alternates large-star and small-star steps (Kiveris et al., "Connected components in MapReduce

@@ -28,24 +28,28 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Cache, blocks, odd, pieces, portable
-from .common import shared_dir, table, written
+from .bpe import _WS, odd, pieces, portable, unit_words
+from .common import runs, shared_dir, table, written
 
-#: The longest code; 2^MAX_BITS entries make the decoding table.
-MAX_BITS = 20
+#: The longest code, unless there are so many symbols that it would be a bad one; 2^MAX_BITS entries make the decoding table.
+MAX_BITS = 16
 #: Symbols between checkpoints, and symbols a block has at least (its last document may pass that).
 STEP, BLOCK_IDS = 256, 1 << 18
-#: Characters of text that are encoded together, and units kept in each generation of a worker's cache.
-BLOCK, CACHE = 8_000_000, 400_000
+#: Bytes of text that are encoded together, and words and units kept in a worker's caches (some 200 and 50 bytes each).
+BLOCK, CACHE, UNITS = 24_000_000, 200_000, 2_000_000
+#: A space next to other white space or at an end of the text: such a text is not cut at its spaces.
+_STRANGE = f"^ | $| [{_WS}\x1c-\x1f]|[{_WS}\x1c-\x1f] "
 
 
 # --- the code ---------------------------------------------------------------------------------------------------------
 
 
-def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
-    """Lengths of an optimal prefix code with none over `limit` bits, 0 for symbols that never occur (package-merge,
-    with the packages kept as counts of how many of the cheapest leaves each level takes)."""
+def code_lengths(counts: np.ndarray, limit: int | None = None) -> np.ndarray:
+    """Lengths of an optimal prefix code with none over `limit` bits (MAX_BITS, or two more than all symbols need), 0
+    for symbols that never occur (package-merge, with the packages kept as counts of how many of the cheapest leaves each
+    level takes)."""
     used = np.flatnonzero(counts)
+    limit = limit or max(MAX_BITS, len(used).bit_length() + 2)
     out = np.zeros(len(counts), dtype=np.uint8)
     n = len(used)
     if n <= 1:
@@ -84,13 +88,15 @@ class Code:
         self.codes = np.zeros(len(lengths), dtype=np.uint64)
         self.bits = int(lengths.max()) if len(used) else 0
         code, before = 0, 0
-        self.table = np.zeros(1 << self.bits, dtype=np.int64)  # for each beginning of a code, the symbol and its size
+        if len(lengths) > 1 << 26:
+            raise ValueError("more symbols than the table can name")
+        self.table = np.zeros(1 << self.bits, dtype=np.int32)  # for each beginning of a code, the symbol and its size
         for s in order.tolist():
             n = int(lengths[s])
             code <<= n - before
             self.codes[s] = code
             at = code << (self.bits - n)
-            self.table[at : at + (1 << (self.bits - n))] = s << 6 | n
+            self.table[at : at + (1 << (self.bits - n))] = s << 5 | n
             code, before = code + 1, n
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, int, np.ndarray]:
@@ -113,16 +119,18 @@ class Code:
 
     def decode(self, data: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
         """The `n` symbols: one lane for each checkpoint, all lanes a symbol at a time, by table."""
-        words = np.r_[np.frombuffer(data, dtype=">u4"), np.zeros(STEP * MAX_BITS // 32 + 2, dtype=np.uint32)].astype(np.int64)
+        words = np.r_[np.frombuffer(data, dtype=">u4"), np.zeros(STEP * self.bits // 32 + 2, dtype=np.uint32)].astype(np.int64)
         pairs = words[:-1] << 32 | words[1:]  # 64 bits from every 32nd on; the last lane may run on into zeros
-        out = np.zeros((STEP, len(checkpoints)), dtype=np.int64)
+        out = np.zeros((STEP, len(checkpoints)), dtype=np.int32)
         at = np.array(checkpoints, dtype=np.int64)
         mask, width = (1 << self.bits) - 1, 64 - self.bits
         for i in range(min(STEP, n)):
-            entry = out[i]
-            np.take(self.table, pairs[at >> 5] >> (width - (at & 31)) & mask, out=entry)
-            at += entry & 63
-        return (out.T.reshape(-1)[:n] >> 6).astype("<u4")
+            window = pairs.take(at >> 5)
+            window >>= width - (at & 31)
+            window &= mask
+            out[i] = self.table.take(window)
+            at += out[i] & 31
+        return (out.T.reshape(-1)[:n] >> 5).astype("<u4")
 
 
 @lru_cache(maxsize=2)
@@ -145,91 +153,106 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """The tokenizers library behind caches. A text is cut into units that no match can cross; a byte-level BPE is
-    asked for the words of new units, any other kind of tokenizer for whole texts."""
+    """The tokenizers library behind caches. A text is cut at single spaces into units that no match can cross; a
+    byte-level BPE is asked for the words of new units, and for the whole of a text that holds one of its added tokens.
+    Any other kind of tokenizer is asked for whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.by_words = (
-            spec["model"].get("type") == "BPE" and not spec["model"].get("dropout") and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
-            and pre.get("use_regex", True) and all(t["special"] for t in spec.get("added_tokens", []))
+            spec["model"].get("type") == "BPE" and not spec["model"].get("dropout") and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
+            and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         )
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.find = regex.compile(portable(_BYTE_LEVEL)).findall
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.units, self.words = Cache(CACHE), {}
-        self.marks = {m: self._ids(m) for m in ".,"} if self.by_words else {}
+        self.words: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self, keep: np.ndarray | None = None) -> None:
+        """Of the units that follow a space, those at the places `keep` stay in the cache; place 0 is nobody's."""
+        if keep is None:
+            self.units, self.ids = pa.array([None], pa.large_string()), pa.array([b""], pa.large_binary())
+        else:
+            self.units, self.ids = self.units.take(pa.array(keep)), self.ids.take(pa.array(keep))
 
     def _ids(self, word: str) -> bytes:
         letters = word.replace(" ", self.letters[32]) if word.isascii() and word[-1:].isalpha() else word.encode().decode("latin-1").translate(self.letters)
-        ids = array(self.code, [t.id for t in self.tokenizer.model.tokenize(letters)])
+        ids = array(self.code, [t.id for t in self.model.tokenize(letters)])
         if sys.byteorder != "little":
             ids.byteswap()
         return ids.tobytes()
 
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) > CACHE:
-                self.words.clear()
-            ids = self.words[word] = self._ids(word)
-        return ids
-
-    def _learn(self, units: list[str]) -> list[bytes]:
-        """The ids of each unit. Most are a word, or a word and a mark, and a word is kept as the unit that it is."""
-        new = self.units.missing(units)
-        known = self.units.young
-        for u in new:
-            bare = u[1:] if u[:1] == " " else u
-            if bare.isalpha():
-                if u not in known:
-                    known[u] = self._ids(u)
-            elif bare[-1:] in self.marks and bare[:-1].isalpha():
-                word = known.get(u[:-1])
-                if word is None:
-                    word = known[u[:-1]] = self._ids(u[:-1])
-                known[u] = word + self.marks[bare[-1]]
-            else:
-                known[u] = b"".join(map(self._word, self.find(u)))
-        return [known[u] for u in units]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. Texts are cut at spaces and their units made distinct outside Python, which sees each
-        unit of a block once."""
+    def _words(self, words: list[str]) -> bytes:
+        known, out = self.words, []
+        for w in words:
+            ids = known.get(w)
+            if ids is None:
+                if len(known) >= CACHE:
+                    known.clear()
+                ids = known[w] = self._ids(w)
+            out.append(ids)
+        return b"".join(out)
+
+    def _places(self, units: pa.Array, skip: np.ndarray) -> np.ndarray:
+        """The place of each unit in the cache, those that are new learnt; 0 at the places `skip`."""
+        at = pc.index_in(units, value_set=self.units)
+        lost = np.array(at.is_null())
+        lost[skip] = False
+        if lost.any():
+            new = units.filter(pa.array(lost)).unique()
+            coded = [self._words(unit_words(f" {u}", self.find)) for u in new.to_pylist()]
+            before = len(self.units)
+            self.units, self.ids = pa.concat_arrays([self.units, new]), pa.concat_arrays([self.ids, pa.array(coded, pa.large_binary())])
+            out = at.fill_null(0).to_numpy().astype(np.int64)
+            out[lost] = before + pc.index_in(units.filter(pa.array(lost)), value_set=new).to_numpy()
+        else:
+            out = at.fill_null(0).to_numpy().astype(np.int64)
+        out[skip] = 0
+        return out
+
+    def _odd(self, text: str) -> bytes:
+        """The ids of a text with an added token or an odd space."""
+        if any(a in text for a in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        return b"".join([self._words(self.find(p)) if odd(p) else self._plain(pa.array([p], pa.large_string()))[0] for p in pieces(text)])
+
+    def _plain(self, texts: pa.Array) -> list[bytes]:
+        """The ids of texts whose spaces all stand between other characters."""
+        cut = pc.split_pattern(texts, " ")
+        starts = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        units = cut.flatten()
+        heads = units.take(pa.array(starts[:-1])).to_pylist()
+        at = self._places(units, starts[:-1])
+        taken = self.ids.take(pa.array(at))
+        ends = np.frombuffer(taken.buffers()[1], dtype=np.int64)[taken.offset :][starts].tolist()
+        data = memoryview(taken.buffers()[2] or b"")
+        out = [self._words(unit_words(h, self.find) if h else []) + data[a:b] for h, a, b in zip(heads, ends, ends[1:], strict=False)]
+        if len(self.units) > UNITS:
+            self._forget(np.unique(np.r_[0, at]))
+        return out
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of a large_string array without nulls. Texts are cut and their units looked up outside
+        Python, which sees units that are new only."""
         if not self.by_words:
-            return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        plain: list[str] = []
-        parts: list[list[int | bytes]] = []
-        for t in texts:
-            parts.append([])
-            for p in pieces(t):
-                if odd(p):
-                    parts[-1].append(b"".join(map(self._word, self.find(p))))
-                else:
-                    parts[-1].append(len(plain))
-                    plain.append(p)
-        cut = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
-        coded = cut.values.dictionary_encode()
-        starts, index, names = cut.offsets.to_numpy(), coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        heads = self._learn([names[i] for i in index[starts[:-1]].tolist()])
-        spaced = np.zeros(len(names), dtype=bool)  # those that follow a space somewhere
-        after = np.ones(len(index), dtype=bool)
-        after[starts[:-1]] = False
-        spaced[index[after]] = True
-        at = np.flatnonzero(spaced).tolist()
-        ids: list[bytes] = [b""] * len(names)
-        for i, x in zip(at, self._learn([f" {names[i]}" for i in at]), strict=True):
-            ids[i] = x
-        find, index, starts = ids.__getitem__, index.tolist(), starts.tolist()
-        whole = lambda k: heads[k] + b"".join(map(find, index[starts[k] + 1 : starts[k + 1]]))
-        return [b"".join([x if isinstance(x, bytes) else whole(x) for x in p]) for p in parts]
+            return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        strange = pc.match_substring_regex(texts, _STRANGE)
+        for a in self.added:
+            strange = pc.or_(strange, pc.match_substring(texts, a))
+        at = np.array(strange)
+        if not at.any():
+            return self._plain(texts)
+        plain, rest = iter(self._plain(texts.filter(pc.invert(strange)))), iter([self._odd(t) for t in texts.filter(strange).to_pylist()])
+        return [next(rest if x else plain) for x in at.tolist()]
 
 
 @lru_cache(maxsize=2)
@@ -241,21 +264,27 @@ def encoder(path: str) -> Encoder:
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int, wide: bool) -> DataFrame:
-    """(doc_id, ids): each text's ids and the end id, in little-endian 16 bits, or 32 bits if `wide`."""
+    """(doc_id, ids, head, tally): each text's ids and the end id, in little-endian 16 bits, or 32 bits if `wide`, and the
+    first 16 bytes of them; and for each block of texts a row that has nothing but the counts of its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         to = np.dtype("<u4" if wide else "<u2")
         end = np.array([end_id], dtype=to).tobytes()
+        counted = pa.list_(pa.struct([("id", pa.int32()), ("n", pa.int64())]))
         for b in batches:
-            at = 0
-            for block in blocks([t or "" for t in b.column(1).to_pylist()], BLOCK):
-                ids = [(x if enc.dtype == to else np.frombuffer(x, dtype=enc.dtype).astype(to).tobytes()) + end for x in enc.encode(block)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(block)), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-                at += len(block)
+            texts = pc.fill_null(b.column(1).cast(pa.large_string()), "")
+            for at, n in runs(texts, BLOCK):
+                ids = [(x if enc.dtype == to else np.frombuffer(x, dtype=enc.dtype).astype(to).tobytes()) + end for x in enc.encode(pa.concat_arrays([texts.slice(at, n)]))]
+                total = np.bincount(np.frombuffer(b"".join(ids), dtype=to))
+                some = np.flatnonzero(total)
+                pairs = pa.StructArray.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["id", "n"])
+                tally = pa.ListArray.from_arrays(pa.array([*[0] * (n + 1), len(some)], pa.int32()), pairs)
+                whole = pa.array([*ids, None], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(0).slice(at, n), pa.nulls(1, b.column(0).type)]), whole, pc.binary_slice(whole, 0, 16), tally.cast(counted)], names=["doc_id", "ids", "head", "tally"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, head binary, tally array<struct<id:int,n:long>>")
 
 
 # --- the files --------------------------------------------------------------------------------------------------------
@@ -269,17 +298,9 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, where: str) -> Non
     wide = size > 1 << 16
     width = np.dtype("<u4" if wide else "<u2")
     ids = written(tokenized(docs, tokenizer, end_id, wide), "token_ids")
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=np.int64)
-        for b in batches:
-            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=width), minlength=size)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
-
     # one row for each id of the vocabulary reaches the driver
     counts = np.zeros(size, dtype=np.int64)
-    for i, n in ids.select("ids").mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n")).collect():
+    for i, n in ids.filter("size(tally) > 0").select(F.explode("tally").alias("t")).groupBy("t.id").agg(F.sum("t.n")).collect():
         counts[i] = n
     lengths = code_lengths(counts)
     book = lengths.tobytes()
@@ -320,7 +341,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, where: str) -> Non
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     by = [F.asc_nulls_last("doc_id"), F.asc("ids")]
     # the bounds of the ranges come from a sample on the driver: a beginning of the ids orders them alike, in 16 bytes
-    sorted_ids = ids.repartitionByRange(parts, by[0], F.substring("ids", 1, 16).asc()).sortWithinPartitions(*by)
+    sorted_ids = ids.filter("ids is not null").select("doc_id", "ids", "head").repartitionByRange(parts, by[0], F.asc("head")).select("doc_id", "ids").sortWithinPartitions(*by)
     out = sorted_ids.mapInArrow(pack, f"part int, block long, doc_ids array<{kind}>, n_tokens array<long>, block_tokens long, checkpoints array<long>, n_bits long, bits binary")
     out.write.option("compression", "none").parquet(f"{where}/blocks")
 

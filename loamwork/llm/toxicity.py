@@ -6,38 +6,43 @@ will see at prediction time. Features are a text's distinct words and their begi
 or not), and a few shares of its characters.
 
 The models are trained on the driver on a bounded sample of labelled rows: up to SAMPLE of each class of the last
-labelled category, those with the least hash of doc_id. Prediction covers all rows. The model is a few thousand
-weights and travels with the function.
+labelled category, those with the least hash of doc_id, among texts of LONGEST characters at most. Prediction covers all
+rows, a block of texts at once. The model is a few thousand weights and travels with the function.
 
 Categories of the registered query, in order: low_quality (label quality = 0), toxic (label toxic = 1), and
-severe_toxic (toxic, with at least SEVERE_MARKS occurrences of words that mark toxic documents).
+severe_toxic. The labels know one toxicity only; severe_toxic is made out of it (toxic, with at least SEVERE_MARKS
+occurrences of words that mark toxic documents), and low_quality is there for what it tells the models after it.
 
-Defined results: a null or empty text gets the probabilities of a text without words; rows whose label is null are not
-trained on; a category with one class in the sample is predicted as that class's share; without labelled rows every
-probability is 0.5; repeated rows give repeated results; an empty table gives an empty result.
+Defined results: a null or empty text gets the probabilities of a text without words; a text of any length is read whole;
+rows whose label is null are not trained on; a category with one class in the sample is predicted as that class's share;
+without labelled rows every probability is 0.5; repeated rows give repeated results; an empty table gives an empty
+result; extra columns are not read, whatever they are called.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import runs, table
 
-SAMPLE, FOLDS, SEVERE_MARKS, THRESHOLD = 3000, 4, 6, 0.5
-_SYMBOL = re.compile(r"[#*$%&|<>@^~{}\[\]\\/_=+]")
-_UPPER, _DIGIT = re.compile(r"[A-ZÀ-ÖØ-Þ]"), re.compile(r"[0-9]")
+#: Labelled rows of each class, and characters of a text, that training takes at most.
+SAMPLE, LONGEST = 3000, 200_000
+FOLDS, SEVERE_MARKS, THRESHOLD = 4, 6, 0.5
+#: How far a feature's share must differ between the classes, in standard errors, and in how many texts it must occur.
+TELLING, SUPPORT = 5.0, 3
+_SHARES = [r"[#*$%&|<>@^~{}\[\]\\/_=+]", "[A-ZÀ-ÖØ-Þ]", "[0-9]"]
 _EDGE = "\t\n.,;:!?'\"()[]{}<>*#$%&|-_/\\+=~^@`…“”‘’«»"
-CACHE = 300_000
-DENSE = 3
+#: Bytes of text scored at once.
+BLOCK = 8_000_000
+DENSE = len(_SHARES)
 MASK = (1 << 22) - 1
 
 
@@ -46,19 +51,6 @@ def word_features(word: str) -> list[int]:
     return [crc32(x.encode()) & MASK for x in (word, *(f"{word[:n]}~" for n in (4, 5, 6) if len(word) >= n))]
 
 
-def words_of(text: str) -> Counter:
-    c: Counter = Counter()
-    for w, n in Counter(text.lower().split()).items():
-        if w := w.strip(_EDGE):
-            c[w] += n
-    return c
-
-
-def dense(text: str) -> list[float]:
-    n = max(len(text), 1)
-    return [len(_SYMBOL.findall(text)) / n, len(_UPPER.findall(text)) / n, len(_DIGIT.findall(text)) / n]
-
-
 @dataclass
 class Linear:
     """A logistic model over chosen features, the dense ones and the earlier probabilities."""
@@ -69,15 +61,33 @@ class Linear:
 
 
 class _Rows:
-    """Documents' features: for each presence, its document and its feature."""
+    """Documents' features: for each presence, its document and its feature, documents in order, features ascending. With
+    `wanted`, only those features."""
 
-    def __init__(self, texts: list[str]):
-        counted = [words_of(t) for t in texts]
-        ids = [np.unique(np.array([f for w in c for f in word_features(w)], dtype=np.int32)) for c in counted]
+    def __init__(self, texts: pa.Array, wanted: np.ndarray | None = None):
         self.n = len(texts)
-        self.row = np.repeat(np.arange(self.n), [len(i) for i in ids])
-        self.feature = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
-        self.extra = np.array([dense(t) for t in texts]).reshape(self.n, DENSE)
+        cut = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+        coded = cut.flatten().dictionary_encode()
+        found = [word_features(w) if w else [] for w in pc.utf8_trim(coded.dictionary, characters=_EDGE).to_pylist()]
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        of = np.fromiter((f for fs in found for f in fs), dtype=np.int64, count=int(sizes.sum()))
+        word = np.repeat(np.arange(len(found)), sizes)
+        if wanted is not None:
+            word, of = word[wanted[of]], of[wanted[of]]
+            sizes = np.bincount(word, minlength=len(found))
+        #: Each occurrence of a word that has features: its document and the word, and each word's features.
+        self.at = np.repeat(np.arange(self.n), np.diff(cut.offsets.to_numpy()))
+        self.word = coded.indices.to_numpy()
+        some = sizes[self.word] > 0
+        self.at, self.word, self.sizes, self.of, self.starts = self.at[some], self.word[some], sizes, of, np.cumsum(sizes) - sizes
+        once = np.unique(self.at * max(1, len(found)) + self.word)
+        at, word = once // max(1, len(found)), once % max(1, len(found))
+        k = sizes[word]
+        place = np.repeat(self.starts[word] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+        keys = np.unique(np.repeat(at, k) * (MASK + 1) + of[place])
+        self.row, self.feature = keys // (MASK + 1), (keys % (MASK + 1)).astype(np.int32)
+        length = np.maximum(pc.utf8_length(texts).to_numpy(), 1)
+        self.extra = np.stack([pc.count_substring_regex(texts, p).to_numpy() / length for p in _SHARES], axis=1).reshape(self.n, DENSE)
 
     def chosen(self, features: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         to = np.full(MASK + 1, -1, dtype=np.int32)
@@ -85,18 +95,23 @@ class _Rows:
         col = to[self.feature]
         return self.row[col >= 0], col[col >= 0]
 
+    def occurrences(self, telling: np.ndarray) -> np.ndarray:
+        """How many words of each document have a feature that is `telling` (by feature)."""
+        has = np.bincount(np.repeat(np.arange(len(self.sizes)), self.sizes), weights=telling[self.of], minlength=len(self.sizes)) > 0
+        return np.bincount(self.at, weights=has[self.word], minlength=self.n)
+
 
 def _choose(rows: _Rows, y: np.ndarray, train: np.ndarray, limit: int = 600) -> dict[int, int]:
-    """The features whose presence among the documents in `train` differs most between the classes (z-score over 4,
-    over 6 in large samples), by number where equal."""
+    """The features whose presence among the documents in `train` differs most between the classes, by number where
+    equal."""
     one, zero = train & (y == 1), train & (y == 0)
     a = np.bincount(rows.feature[one[rows.row]], minlength=MASK + 1)
     b = np.bincount(rows.feature[zero[rows.row]], minlength=MASK + 1)
     n1, n0 = max(int(one.sum()), 1), max(int(zero.sum()), 1)
     p = (a + b) / (n1 + n0)
     z = np.abs(a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-    z[a + b < 3] = 0
-    at = np.flatnonzero(z > (6 if n1 + n0 > 2000 else 4))
+    z[a + b < SUPPORT] = 0
+    at = np.flatnonzero(z > TELLING)
     return {int(f): i for i, f in enumerate(at[np.lexsort((at, -z[at]))][:limit])}
 
 
@@ -139,9 +154,13 @@ def _predict(model: Linear, rows: _Rows, extra: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _column(texts: list[str | None]) -> pa.Array:
+    return pa.array([t or "" for t in texts], pa.large_string())
+
+
 def train_chain(texts: list[str], labels: np.ndarray, folds: int = FOLDS) -> list[Linear]:
     """A model for each column of `labels` (0 or 1, documents x categories), in order."""
-    rows = _Rows(texts)
+    rows = _Rows(_column(texts))
     extra = rows.extra
     fold = np.arange(len(texts)) % folds
     every = np.ones(len(texts), dtype=bool)
@@ -159,57 +178,40 @@ def train_chain(texts: list[str], labels: np.ndarray, folds: int = FOLDS) -> lis
 
 
 class Chain:
-    """Prediction: words are looked up once for each worker."""
+    """Prediction: each model sees the probabilities of those before it."""
 
     def __init__(self, models: list[Linear]):
         self.models = models
-        self.known: dict[str, tuple] = {}
-
-    def _find(self, word: str) -> tuple:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) > CACHE:
-                self.known.clear()
-            fs = word_features(word)
-            got = self.known[word] = tuple((k, j) for k, m in enumerate(self.models) for f in fs if (j := m.features.get(f)) is not None)
-        return got
-
-    def predict(self, text: str) -> list[float]:
-        words = words_of(text)
-        hit: set[tuple[int, int]] = set()
-        for w in words:
-            hit.update(self._find(w))
-        extra = dense(text)
-        out = []
-        for k, m in enumerate(self.models):
-            if m.prior is not None:
-                p = m.prior
-            else:
-                n = len(m.features)
-                z = sum(m.weights[j] for c, j in sorted(hit) if c == k) + float(np.dot(m.weights[n:], [*extra, 1.0]))
-                p = float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-            out.append(p)
-            extra = [*extra, p]
-        return out
+        self.wanted = np.zeros(MASK + 1, dtype=bool)
+        for m in models:
+            self.wanted[list(m.features)] = True
+
+    def predict(self, texts: pa.Array) -> np.ndarray:
+        """Documents x categories, of a large_string array without nulls."""
+        rows = _Rows(texts, self.wanted)
+        extra = rows.extra
+        for m in self.models:
+            extra = np.c_[extra, _predict(m, rows, extra)]
+        return extra[:, DENSE:]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Texts and (low_quality, toxic) of up to `sample` toxic and as many other labelled rows, by the least hash."""
+    """Texts and (low_quality, toxic) of up to `sample` toxic and as many other labelled rows, by the least hash; of them,
+    those of LONGEST characters at most."""
     chosen = labels.filter("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     picks = [chosen.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (1, 0)]
-    one = docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    one = docs.filter(F.col("doc_id").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)) <= LONGEST)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     got = one.join(F.broadcast(picks[0].union(picks[1])), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    rows = got.orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # 2 * sample rows at most
+    rows = got.orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # 2 * sample rows at most, of bounded length
     return [r["text"] for r in rows], np.array([[int(r["quality"] == 0), int(r["toxic"] == 1)] for r in rows]).reshape(len(rows), 2)
 
 
 def severe(texts: list[str], toxic: np.ndarray, marks: int = SEVERE_MARKS) -> np.ndarray:
     """Toxic texts with `marks` or more occurrences of words that have a feature found in toxic texts almost only."""
-    rows = _Rows(texts)
+    rows = _Rows(_column(texts))
     pos = np.bincount(rows.feature[(toxic == 1)[rows.row]], minlength=MASK + 1)
     neg = np.bincount(rows.feature[(toxic == 0)[rows.row]], minlength=MASK + 1)
-    telling = set(np.flatnonzero((pos >= 5) & (neg * 50 <= pos)).tolist())
-    return np.array([int(c and sum(n for w, n in words_of(t).items() if any(f in telling for f in word_features(w))) >= marks) for t, c in zip(texts, toxic.tolist(), strict=True)])
+    return ((toxic == 1) & (rows.occurrences((pos >= 5) & (neg * 50 <= pos)) >= marks)).astype(int)
 
 
 def score(docs: DataFrame, models: list[Linear], names: list[str], keep: list[str]) -> DataFrame:
@@ -221,10 +223,10 @@ def score(docs: DataFrame, models: list[Linear], names: list[str], keep: list[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = Chain(held.value)
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                p = np.array([chain.predict(t or "") for t in part.column(0).to_pylist()]).reshape(part.num_rows, len(columns))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *(pa.array(p[:, k]) for k in range(len(columns)))], names=[*part.schema.names[1:], *columns])
+            texts = pc.fill_null(b.column(0).cast(pa.large_string()), "")
+            for at, n in runs(texts, BLOCK):
+                p = chain.predict(pa.concat_arrays([texts.slice(at, n)]))
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, n) for c in b.columns[1:]), *(pa.array(p[:, k]) for k in range(len(columns)))], names=[*b.schema.names[1:], *columns])
 
     return docs.select("text", *keep).mapInArrow(run, f"{fields}, " + ", ".join(f"{c} double" for c in columns))
 

@@ -3,6 +3,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as public
 import pytest
 import tiktoken
@@ -13,7 +14,7 @@ from tokenizers import Tokenizer
 from loamwork.llm import bpe, token_files
 
 PATH, JSON = public.path("byte_bpe_50k.tiktoken"), public.path("byte_bpe_50k.json")
-ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "\n\n", "don't I'LL we've", "x1 2y 33", "<|endoftext|> a", "\0 \0a", "é é", "\U0001f600\U0001f600 \U0001f468‍\U0001f469", "a\xa0b \x85c\x1cd", " x  y", "中文 字", "1.2,3", "end.", "end. ", "aaaa" * 200, "ab " * 400, "﻿", "Ⅷ ² ½ x", "a,b c, d."]
+ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "\n\n", "don't I'LL we've", "x1 2y 33", "<|endoftext|> a", "hi <|endoftext|> there", "x<|endoftext|><|endoftext|>", "\0 \0a", "é é", "\U0001f600\U0001f600 \U0001f468‍\U0001f469", "a\xa0b \x85c\x1cd", " x  y", "中文 字", "1.2,3", "end.", "end. ", "aaaa" * 200, "ab " * 400, "﻿", "Ⅷ ² ½ x", "a,b c, d."]
 
 
 @pytest.fixture(scope="module")
@@ -30,19 +31,21 @@ def ranks():
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(JSON)
 
 
 def ids(data, kind="<u4"):
     return np.frombuffer(data, dtype=kind).tolist()
 
 
+def column(texts):
+    return pa.array(texts, pa.large_string())
+
+
 def test_odd_texts(encoding, ranks, tokenizer):
     enc = token_files.encoder(JSON)
     assert [ids(x) for x in ranks.encode(ODD)] == [encoding.encode_ordinary(t) for t in ODD]
-    assert [ids(x, enc.dtype) for x in enc.encode(ODD)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in ODD]
+    assert [ids(x, enc.dtype) for x in enc.encode(column(ODD))] == [tokenizer.encode(t, add_special_tokens=False).ids for t in ODD]
     assert [ranks.decode(x).decode() for x in ranks.encode(ODD)] == ODD
 
 
@@ -50,7 +53,7 @@ def test_every_character(encoding, ranks, tokenizer):
     enc = token_files.encoder(JSON)
     texts = [f"x{chr(c)}y {chr(c)}1 {chr(c)}{chr(c)} ." for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000]
     assert [ids(x) for x in ranks.encode(texts)] == encoding.encode_ordinary_batch(texts, num_threads=2)
-    assert [ids(x, enc.dtype) for x in enc.encode(texts)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [ids(x, enc.dtype) for x in enc.encode(column(texts))] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 @settings(max_examples=300, deadline=None)
@@ -58,7 +61,7 @@ def test_every_character(encoding, ranks, tokenizer):
 def test_any_text(encoding, ranks, tokenizer, text):
     assert ids(ranks.encode([text])[0]) == encoding.encode_ordinary(text)
     enc = token_files.encoder(JSON)
-    assert ids(enc.encode([text])[0], enc.dtype) == tokenizer.encode(text, add_special_tokens=False).ids
+    assert ids(enc.encode(column([text]))[0], enc.dtype) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_long_texts_are_cut_where_no_match_crosses(encoding, ranks, monkeypatch):
@@ -79,6 +82,15 @@ def test_replay_against_the_library(encoding, ranks):
         assert ids(small.encode([t])[0]) == encoding.encode_ordinary(t)
 
 
+def test_file_encoder_caches_that_turn_over(tokenizer, monkeypatch):
+    monkeypatch.setattr(token_files, "UNITS", 4)
+    monkeypatch.setattr(token_files, "CACHE", 3)
+    small = token_files.Encoder(JSON)
+    for block in (["a b c d e f", "b"], ["a b c xx, yy", "q a  b", ""], ["a b c d e f"], ["hi <|endoftext|> there a b"]):
+        assert [ids(x, small.dtype) for x in small.encode(column(block))] == [tokenizer.encode(t, add_special_tokens=False).ids for t in block]
+        assert len(small.units) <= 4 + 8
+
+
 def test_query_5(spark, encoding):
     folder = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{folder}/documents.parquet").collect()

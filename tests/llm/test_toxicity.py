@@ -1,4 +1,9 @@
+import math
+import re
+from zlib import crc32
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loamwork.llm import toxicity
@@ -13,7 +18,7 @@ def test_held_out_accuracy(spark):
     seen = set(texts[:half])
     chain = toxicity.Chain(toxicity.train_chain(texts[:half], labels[:half]))
     new = [i for i in range(half, len(rows)) if texts[i] not in seen]
-    p = np.array([chain.predict(texts[i])[1] for i in new])
+    p = chain.predict(pa.array([texts[i] for i in new], pa.large_string()))[:, 1]
     y = labels[new, 1]
     ranks = np.argsort(np.argsort(p))
     auc = (ranks[y == 1].sum() - y.sum() * (y.sum() - 1) / 2) / (y.sum() * (1 - y).sum())
@@ -64,3 +69,60 @@ def test_sample_is_bounded(spark, docs):
     d = docs(*((i, f"t{i}") for i in range(50)))
     texts, labels = toxicity.labelled_sample(d, frame(spark, *((i, 1, i % 2) for i in range(50))), sample=7)
     assert len(texts) == 14 and labels[:, 1].sum() == 7
+
+
+def test_columns_that_clash(spark, docs, tmp_path):
+    d = docs(*((i, "you idiot loser" if i % 2 else "a calm text") for i in range(40))).withColumnsRenamed({"lang": "toxic", "source": "p_toxic", "n_chars": "quality"})
+    labels = frame(spark, *((i, 1, i % 2) for i in range(40))).selectExpr("*", "'x' AS text", "1 AS n_chars")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    assert {r.doc_id: r.toxic for r in toxicity.op8_toxicity(spark, str(tmp_path)).collect()} == {i: bool(i % 2) for i in range(40)}
+
+
+def features(text):
+    out = set()
+    for w in text.lower().split():
+        w = w.strip(toxicity._EDGE)
+        if w:
+            out |= {crc32(x.encode()) % 2**22 for x in [w] + [w[:n] + "~" for n in (4, 5, 6) if len(w) >= n]}
+    return out
+
+
+def shares(text):
+    counts = [sum(c in "#*$%&|<>@^~{}[]\\/_=+" for c in text), len(re.findall("[A-ZÀ-ÖØ-Þ]", text)), len(re.findall("[0-9]", text))]
+    return [c / max(len(text), 1) for c in counts]
+
+
+def test_chain_against_a_plain_one(spark):
+    """The same predictions text by text from the definitions; the same choice of features; out-of-fold training."""
+    folder = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").select("text", "quality", "toxic").orderBy("doc_id").collect()
+    texts, labels = [r.text for r in rows], np.array([[int(r.quality == 0), r.toxic] for r in rows])
+    models = toxicity.train_chain(texts, labels)
+    got = toxicity.Chain(models).predict(pa.array(texts, pa.large_string()))
+    for t, p in zip(texts[:150], got, strict=False):
+        extra = shares(t)
+        for k, m in enumerate(models):
+            z = sum(m.weights[m.features[f]] for f in features(t) if f in m.features) + sum(a * b for a, b in zip(m.weights[len(m.features) :], [*extra, 1.0], strict=True))
+            extra.append(1 / (1 + math.exp(-min(30, max(-30, z)))))
+            assert p[k] == pytest.approx(extra[-1], abs=1e-9)
+    held = [features(t) for t in texts]
+    y, n1 = labels[:, 0], int(labels[:, 0].sum())
+    n0 = len(y) - n1
+    scores = {}
+    for f in set().union(*held):
+        a, b = (sum(f in h for h, v in zip(held, y, strict=True) if v == c) for c in (1, 0))
+        share = (a + b) / len(y)
+        z = abs(a / n1 - b / n0) / math.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
+        if a + b >= toxicity.SUPPORT and z > toxicity.TELLING:
+            scores[f] = z
+    assert set(models[0].features) == set(scores) or len(models[0].features) == 600
+    # the second model's last column is the first one's probability, from models that have not seen the text
+    fold = np.arange(len(texts)) % toxicity.FOLDS
+    out = np.zeros(len(texts))
+    for f in range(toxicity.FOLDS):
+        part = toxicity.train_chain([t for t, k in zip(texts, fold, strict=True) if k != f], labels[fold != f][:, :1])
+        out[fold == f] = toxicity.Chain(part).predict(pa.array([t for t, k in zip(texts, fold, strict=True) if k == f], pa.large_string()))[:, 0]
+    rows_ = toxicity._Rows(pa.array(texts, pa.large_string()))
+    second = toxicity._train(rows_, np.c_[rows_.extra, out], labels[:, 1].astype(float), np.ones(len(texts), dtype=bool))
+    assert second.features == models[1].features and second.weights == pytest.approx(models[1].weights)
