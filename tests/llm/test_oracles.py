@@ -6,7 +6,7 @@ import pytest
 from loamwork.llm import queries
 
 ODD_DOCS = [(1, "a b c", "en", "x"), (1, "a b c", "en", "x"), (2, None, None, None), (None, "d e", "en", None), (None, "d e", "en", "\U0001f600"), (3, "", "en", "é"), (4, " \t\x0b\x0c\r\n ", "en", "￿"), (5, "w " * 5000, "de", "z"), (6, "x\x1cy\xa0z\x85q", "en", "z")]
-ODD_TURNS = [(1, 0, "user", 'say "hi" \\ é'), (1, 1, "assistant", "ok\n\ttab"), (1, 2, "user", None), (1, 4, "user", ""), (1, 5, "assistant", None), (2, 0, "user", "w " * 60), (2, 2, "user", "no answer"), (None, 0, "user", "x"), (2, None, "assistant", "x"), (3, 0, None, "x"), (4, 0, "user", "twice"), (4, 0, "user", "again"), (4, 1, "assistant", "b"), (4, 1, "assistant", "a"), (5, 3, "user", "late")]
+ODD_TURNS = [(1, 0, "user", 'say "hi" \\ é'), (1, 1, "assistant", "ok\n\ttab"), (1, 2, "user", None), (1, 4, "user", ""), (1, 5, "assistant", None), (2, 0, "user", "w " * 60), (2, 2, "user", "no answer"), (None, 0, "user", "x"), (2, None, "assistant", "x"), (3, 0, None, "x"), (4, 0, "user", "twice"), (4, 0, "user", "again"), (4, 1, "assistant", "b"), (4, 1, "assistant", "a"), (5, 3, "user", "late"), *((c, k, "user" if k % 2 == 0 else "assistant", f"text {k} of {c}") for c in range(-3, 29) for k in range(8) if c > 5 or c < 1)]
 
 
 def same(df, sql, folder, tables):
