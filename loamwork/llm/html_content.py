@@ -5,11 +5,15 @@ each path, text length and punctuation are summed over its blocks; a path's rati
 weighted by its punctuation for each block and by the share of text outside links. The ratios, laid along the page, are
 smoothed with a Gaussian, fused with the raw ones (geometric mean), and paths above a threshold are content paths (Wu
 et al., "Web content extraction via tag path feature fusion"). The content node is the innermost element that holds
-nearly all content-path text and its headings; its blocks are the article, but for subtrees that say that they are
-something else (menus, adverts, notices, forms, comments and the like). What a class, an id or a form says counts only
-while the subtree holds no more than half of the page's content-path text or an article or main part stands beside it;
-words that articles use for their own parts do not count where the part is text between other content; lists of short
-links stay between content paragraphs.
+nearly all text of content paths; its blocks are the article, with the first-level heading before it where it has none.
+At its edges, lists of links go whose ratio would stay below the threshold even if links were text; where no element
+holds the article apart from the rest of the page, so do all blocks below it.
+
+HTML's own elements for something else (nav, footer, aside, forms' controls, scripts) are never read. What a class name or
+an id says is the last resort, for adverts, notices and readers' comments that look like an article to any ratio: such a
+part goes unless it holds over half of the page's content-path text and no article or main part stands beside it (comments
+go always), or the word is one that articles use for their own parts, the part is text within the article and it is no
+series of like parts.
 
 Defined results: a null or empty page, and one with no text block, gives an empty string; unclosed, misnested and cut
 tags are closed as browsers do for the common cases; repeated rows give repeated results; an empty table gives an empty
@@ -39,11 +43,17 @@ _BLOCK = set(
 _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Never content, whatever they hold.
 _DROP = set("head script style noscript template svg math canvas object iframe nav aside footer button select textarea input label dialog menu search audio video map frameset".split())
+#: What a class name or an id says that its part of the page is, by its last word or, of adverts, its first.
 _WORDS = set(
-    "nav navbar navigation menu menubar submenu breadcrumb breadcrumbs pagination pager toc sidebar aside footer masthead ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion promoted "
-    "banner cookie cookies consent gdpr notice notices alert popup modal overlay subscribe subscription newsletter signup login share sharing social comment comments commentlist disqus reply replies respond response responses discussion "
+    "nav navbar navigation menu menubar submenu breadcrumb breadcrumbs pagination pager toc sidebar aside footer masthead sponsor sponsored promo promotion promoted "
+    "banner cookie cookies consent gdpr notice notices alert popup modal overlay subscribe subscription newsletter signup login share sharing social respond response responses discussion "
     "related recommended recommendations trending widget widgets toolbar skip copyright disclaimer feedback hidden".split()
 )
+_ADVERTS = set("ad ads advert adverts advertisement advertising adsense adslot".split())
+#: What readers wrote, which is never the article, however much of a page it is.
+_REMARKS = set("comment comments commentlist disqus reply replies".split())
+#: Last words that say only that it is a part, and first ones that say only where.
+_PLAIN = set("area bar block body box button buttons container content form icons inner items links list message panel posts section slot thread title top bottom left right".split())
 #: May hold a whole page: not content unless they hold most of it.
 _FORMS = {"form", "fieldset"}
 #: Words that articles use for their own parts as well.
@@ -56,47 +66,49 @@ _TRUSTED = {"html", "body", "main", "article"} | _HEADING | {"p"}
 #: A start tag of the key closes an open element of the value.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "thead": {"thead", "tbody"}, "tfoot": {"tbody", "tr", "td", "th"}}
 _SCOPE = {"ul", "ol", "dl", "table", "div", "section", "article", "body", "html", "main", "aside", "nav", "footer", "header", "form", "td", "th", "blockquote", "details", "figure"}
-#: Elements nested deeper are read as if they stood beside each other.
+#: What can hold an article.
+_HOLDERS = {"body", "main", "article", "section", "div", "form", "fieldset", "header", "center", "table", "tbody", "tr", "td"}
+#: Elements nested deeper are read as if they stood beside each other, so that their text is kept.
 DEPTH = 512
-#: Lists of links whose texts are shorter on average are menus, in characters.
-MENU_TEXT = 20
-#: How far the smoothing reaches, the threshold as a share of the mean fused ratio, and the share of content text that a content node holds.
+#: How far the smoothing reaches, the threshold as a share of the mean fused ratio of the page's characters, and the share of content text that a content node holds.
 KERNEL, THRESHOLD, HOLD = (0.25, 0.5, 0.25), 0.3, 0.75
 #: The share of content text above which a subtree is content, whatever it says.
 MOST = 0.5
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "path", "drop", "marked", "vague", "heading", "text", "score")
+    __slots__ = ("tag", "label", "parent", "path", "drop", "marked", "vague", "remark")
 
-    def __init__(self, tag: str, parent: _Node | None, label: str, drop: bool, marked: bool, vague: bool = False):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: _Node | None, label: str, drop: bool, marked: bool, vague: bool = False, remark: bool = False):
+        self.tag, self.label, self.parent = tag, label, parent
         self.path = hash((parent.path if parent else None, label))  # equal tag paths have equal numbers
         self.drop = drop or bool(parent and parent.drop)
-        self.marked, self.vague = marked, vague  # by its class, its id or as a form; by vague words alone
-        self.heading, self.text, self.score = False, 0, 0.0
+        self.marked, self.vague, self.remark = marked, vague, remark  # by its class, its id or as a form; by vague words alone; as remarks
 
 
-def _says(tag: str, attrs: str, in_article: bool) -> tuple[str, bool, bool, bool]:
+def _says(tag: str, attrs: str, in_article: bool) -> tuple[str, bool, bool, bool, bool]:
     """The path label, and whether the element is hidden or by its role, or by its class or id, something else, or only
-    by vague words."""
+    by vague words, or what readers wrote."""
     if not attrs or not attrs.strip(" /\n\t\r"):
-        return tag, False, tag in _FORMS, False
+        return tag, False, tag in _FORMS, False, False
     got = {}
     for k, v in _ATTR.findall(attrs):
         got.setdefault(k.lower(), html.unescape(v.strip("\"'")))
-    names = f"{got.get('class', '')} {got.get('id', '')}".strip()
+    names = f"{got.get('class', '')} {got.get('id', '')}".split()
     hard = "hidden" in got or got.get("aria-hidden", "").lower() == "true" or got.get("role", "").lower() in _ROLES or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", got.get("style", "").lower()))
     soft = tag in _FORMS or got.get("role", "").lower() == "form"
-    vague = False
-    for name in names.split():
-        soft = soft or name.lower() in _ABOVE and not in_article
+    vague = remark = False
+    for name in names:
         parts = [p.lower() for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+", name)]
-        if parts and parts[0] not in ("no", "has", "with", "without") and any(p in _WORDS for p in parts):
-            vague = vague or all(p in _VAGUE for p in parts if p in _WORDS)
-            soft = soft or any(p in _WORDS - _VAGUE for p in parts)
-    first = names.split()[0] if names else ""
-    return (f"{tag}.{first}" if first else tag), hard, soft or vague, vague and not soft
+        if not parts or parts[0] in ("no", "has", "with", "without"):
+            continue
+        while len(parts) > 1 and (parts[-1] in _PLAIN or parts[-1].isdigit()):
+            parts.pop()
+        last = parts[-1]
+        soft = soft or name.lower() in _ABOVE and not in_article or last in _WORDS - _VAGUE or parts[0] in _ADVERTS or last in _ADVERTS
+        vague, remark = vague or last in _VAGUE, remark or last in _REMARKS
+    first = names[0] if names else ""
+    return (f"{tag}.{first}" if first else tag), hard, soft or vague or remark, vague and not soft and not remark, remark
 
 
 class _Block:
@@ -225,9 +237,9 @@ def _blocks(page: str) -> list[_Block]:
         if len(stack) >= DEPTH:
             flat[tag] = flat.get(tag, 0) + 1
             continue
-        label, hard, soft, vague = _says(tag, attrs, in_article > 0)
+        label, hard, soft, vague, remark = _says(tag, attrs, in_article > 0)
         drop = hard or tag in _DROP or tag == "header" and not in_article
-        node = _Node(tag, stack[-1], label, drop, soft and tag not in _TRUSTED, vague)
+        node = _Node(tag, stack[-1], label, drop, soft and tag not in _TRUSTED, vague, remark and tag not in _TRUSTED)
         stack.append(node)
         anchors += tag == "a"
         in_article += tag == "article"
@@ -237,15 +249,19 @@ def _blocks(page: str) -> list[_Block]:
     return out
 
 
-def _ratios(blocks: list[_Block]) -> list[float]:
-    """The fused tag-path ratio of each block."""
-    sums: dict[str, list[int]] = {}
+def _ratios(blocks: list[_Block], linked: bool = True) -> list[float]:
+    """The tag-path ratio of each block; without `linked`, as if links were text like any other."""
+    sums: dict[int, list[int]] = {}
     for b in blocks:
         s = sums.setdefault(b.node.path, [0, 0, 0, 0])
         for i, v in enumerate((1, len(b.text), len(_PUNCT.findall(b.text)), b.links)):
             s[i] += v
-    ratio = {p: (n / k) * (1 + q / k) * (1 - min(1.0, l / max(n, 1))) for p, (k, n, q, l) in sums.items()}
-    raw = [ratio[b.node.path] for b in blocks]
+    ratio = {p: (n / k) * (1 + q / k) * (1 - min(1.0, l / max(n, 1)) * linked) for p, (k, n, q, l) in sums.items()}
+    return [ratio[b.node.path] for b in blocks]
+
+
+def _fused(raw: list[float]) -> list[float]:
+    """The ratios along the page, smoothed and fused with themselves."""
     reach = len(KERNEL) // 2
     fused = []
     for i, r in enumerate(raw):
@@ -255,141 +271,149 @@ def _ratios(blocks: list[_Block]) -> list[float]:
     return fused
 
 
-def _paths(blocks: list[_Block]) -> set[int]:
-    """The content paths."""
-    fused = _ratios(blocks)
-    limit = THRESHOLD * sum(fused) / len(fused)
-    return {b.node.path for b, f in zip(blocks, fused, strict=True) if f >= limit and f > 0}
+def _paths(blocks: list[_Block]) -> tuple[set[int], float]:
+    """The content paths, and the threshold that they pass: a share of the fused ratio that the page's text has on average."""
+    fused = _fused(_ratios(blocks))
+    limit = THRESHOLD * sum(f * len(b.text) for b, f in zip(blocks, fused, strict=True)) / sum(len(b.text) for b in blocks)
+    sums: dict[int, list[float]] = {}
+    for b, f in zip(blocks, fused, strict=True):
+        s = sums.setdefault(b.node.path, [0, 0.0])
+        s[0] += 1
+        s[1] += f
+    return {p for p, (k, f) in sums.items() if f > 0 and f >= limit * k}, limit
 
 
 def _weight(b: _Block, content: set[int]) -> int:
     return len(b.text) - b.links if b.node.path in content and b.node.tag not in _HEADING else 0
 
 
+def _above(n: _Node | None) -> Iterator[_Node]:
+    while n is not None:
+        yield n
+        n = n.parent
+
+
+def _content_node(blocks: list[_Block], weights: list[int]) -> _Node:
+    """The innermost element that holds HOLD of the content text: down from the root while a child does. Where none does
+    before the first choice between parts of the page, the one article or main part that holds any of it."""
+    held: dict[int, int] = {}
+    children: dict[int, dict[int, _Node]] = {}
+    homes: dict[int, _Node] = {}
+    for b, w in zip(blocks, weights, strict=True):
+        for n in _above(b.node):
+            held[id(n)] = held.get(id(n), 0) + w
+            if n.tag in ("article", "main") and w:
+                homes[id(n)] = n
+            if n.parent is not None:
+                children.setdefault(id(n.parent), {})[id(n)] = n
+    at, total = next(n for n in _above(blocks[0].node) if n.parent is None), sum(weights)
+    while total:
+        inner = [n for n in children.get(id(at), {}).values() if n.tag in _HOLDERS and held[id(n)] >= HOLD * total]
+        if not inner:
+            break
+        at = inner[0]
+    # a cell or a table holds an article only if it lays out the page: a cell with parts of its own
+    while at.tag in ("table", "tbody", "tr", "td") and at.parent is not None:
+        if at.tag == "td" and sum(c.tag in ("p", "div", "section") or c.tag in _HEADING for c in children.get(id(at), {}).values()) > 1:
+            break
+        at = at.parent
+    if at.tag in ("html", "body"):
+        outer = [n for n in homes.values() if not any(m.tag in ("article", "main") for m in _above(n.parent))]
+        if len(outer) == 1:
+            return outer[0]
+    return at
+
+
+def _title(blocks: list[_Block], inside: list[bool], at: _Node) -> int:
+    """The place of the heading before the content node that is its title, or -1: the last first-level one, where the node
+    has none."""
+    first = inside.index(True)
+    if at.tag in ("html", "body") or any(b.node.tag == "h1" for b, x in zip(blocks, inside, strict=True) if x):
+        return -1
+    return max((i for i in range(first) if blocks[i].node.tag == "h1" and blocks[i].links < len(blocks[i].text)), default=-1)
+
+
 def _unmarked(blocks: list[_Block]) -> list[_Block]:
-    """The blocks that stand in no marked subtree but those that the text shows to be content."""
-    marks: list[list[_Node]] = []
-    homes: set[int] = set()  # articles and main parts that hold blocks without marks
-    for b in blocks:
-        n, own, home = b.node, [], None
-        while n is not None:
-            if n.marked:
-                own.append(n)
-            if n.tag in ("article", "main"):
-                home = id(n)
-            n = n.parent
-        marks.append(own)
-        if home and not own:
-            homes.add(home)
+    """The last resort for what ratios do not tell from an article: the blocks that stand in no marked subtree, but those
+    that the text shows to be content."""
+    marks = [[n for n in _above(b.node) if n.marked] for b in blocks]
     if not any(marks):
         return blocks
-    content = _paths(blocks)
+    content, _ = _paths(blocks)
     weights = [_weight(b, content) for b in blocks]
+    homes = {id(n) for b, own in zip(blocks, marks, strict=True) if not own for n in _above(b.node) if n.tag in ("article", "main")}
     held: dict[int, list[int]] = {}  # content text, all text, first and last block
+    kinds: dict[int, dict[str, set[int]]] = {}  # the parts of a marked subtree by their labels
     for i, (b, own) in enumerate(zip(blocks, marks, strict=True)):
         for n in own:
             h = held.setdefault(id(n), [0, 0, i, i])
             h[0] += weights[i]
             h[1] += len(b.text)
             h[3] = i
+        if own:
+            for n in _above(b.node):
+                if n.parent is not None and n.tag not in ("p", "pre", "ul", "ol", "table", "figure", "blockquote") and n.tag not in _HEADING:
+                    kinds.setdefault(id(n.parent), {}).setdefault(n.label, set()).add(id(n))
     total = sum(weights)
-    plain = [i for i, own in enumerate(marks) if weights[i] and all(held[id(n)][0] > MOST * total for n in own)]
+    said = [i for i, w in enumerate(weights) if w] or [0]
 
     def is_content(n: _Node) -> bool:
         text, whole, first, last = held[id(n)]
-        above, m = set(), n.parent
-        while m is not None:
-            above.add(id(m))
-            m = m.parent
-        return text > MOST * total and homes <= above or n.vague and text > MOST * whole and bool(plain) and plain[0] < first and last < plain[-1]
-
-    return [b for b, own in zip(blocks, marks, strict=True) if all(map(is_content, own))]
+        if n.remark:
+            return False
+        if text > MOST * total and homes <= {id(m) for m in _above(n.parent)}:
+            return True
+        beside = any(m.tag in ("article", "main") for m in _above(n.parent)) or said[0] < first and last < said[-1]
+        return n.vague and text > MOST * whole and beside and all(len(x) < 2 for x in kinds.get(id(n), {}).values())
+
+    verdict: dict[int, bool] = {}
+    for own in marks:
+        for n in own:
+            if id(n) not in verdict:
+                verdict[id(n)] = is_content(n)
+    return [b for b, own in zip(blocks, marks, strict=True) if all(verdict[id(n)] for n in own)]
 
 
 def extract(page: str | None) -> str:
     """The main text: one line for each block."""
-    blocks = _blocks(page or "")
-    kept = _unmarked(blocks)
-    if not any(len(b.text) > 0 for b in kept):
-        kept = blocks
+    kept = _unmarked(_blocks(page or ""))
     if not kept:
         return ""
-    content = _paths(kept)
-    total = 0
-    held: dict[int, int] = {}
-    nodes: dict[int, _Node] = {}
-    for b in kept:
-        weight = _weight(b, content)
-        total += weight
-        n: _Node | None = b.node
-        while n is not None:
-            nodes[id(n)] = n
-            held[id(n)] = held.get(id(n), 0) + weight
-            if b.node.tag in ("h1", "h2") and n is not b.node:
-                n.heading = True
-            n = n.parent
-    children: dict[int, list[_Node]] = {}
-    for n in nodes.values():
-        if n.parent is not None:
-            children.setdefault(id(n.parent), []).append(n)
-    at = next(n for n in nodes.values() if n.parent is None)
-    cells = [n for n in nodes.values() if n.tag == "td" and sum(c.tag in ("p", "div", "section") or c.tag in _HEADING for c in children.get(id(n), [])) > 1]
-    while at.tag not in ("article", "main"):
-        inner = [n for n in children.get(id(at), []) if n.tag in _SCOPE and n.tag not in ("ul", "ol", "dl", "table", "td", "th", "blockquote", "details", "figure") and held[id(n)] >= HOLD * total]
-        if not inner:  # a table that lays out the page has one cell with the text
-            inner = [n for n in children.get(id(at), []) if n.tag in ("table", "tbody", "tr", "td", "center") and held[id(n)] >= HOLD * total and any(held[id(c)] >= HOLD * total for c in cells if n.tag != "td" or c is n)]
-        if not total or not inner:
-            break
-        lost = any(n.heading and n is not inner[0] or n.tag in ("h1", "h2") for n in children[id(at)])
-        if lost and inner[0].tag not in ("article", "main") and at.tag not in ("html", "body"):
-            break
-        if lost and at.tag in ("html", "body") and inner[0].tag not in ("article", "main", "div", "section", "table", "center"):
-            break
-        at = inner[0]
-    if at.tag == "main":  # an article within it that holds the text
-        for n in nodes.values():
-            m = n
-            while m is not None and m is not at:
-                m = m.parent
-            if m is at and n.tag == "article" and held[id(n)] >= HOLD * total:
-                at = n
-                break
-
-    def within(n: _Node | None) -> bool:
-        while n is not None:
-            if n is at:
-                return True
-            n = n.parent
-        return False
-
-    def list_of(b: _Block) -> _Node | None:
-        n: _Node | None = b.node
-        while n is not None and n.tag not in ("ul", "ol"):
-            n = n.parent
-        return n
-
-    lists: dict[int, list[int]] = {}
-    inside = [b for b in kept if within(b.node)]
-    for i, b in enumerate(inside):  # lists of links are menus
-        n = list_of(b)
+    content, limit = _paths(kept)
+    weights = [_weight(b, content) for b in kept]
+    at = _content_node(kept, weights)
+    inside = [any(n is at for n in _above(b.node)) for b in kept]
+    title = _title(kept, inside, at)
+    loose = _fused(_ratios(kept, linked=False))
+    said = [i for i, x in enumerate(inside) if x and weights[i]]
+    links: dict[int, list[int]] = {}  # of each list: all text, links, first and last block
+    lists = [next((n for n in _above(b.node) if n.tag in ("ul", "ol")), None) for b in kept]
+    for i, n in enumerate(lists):
         if n is not None:
-            s = lists.setdefault(id(n), [0, 0, 0, i, i])
-            s[0] += 1
-            s[1] += len(b.text)
-            s[2] += b.links
-            s[4] = i
-    said = [i for i, b in enumerate(inside) if list_of(b) is None and _weight(b, content)]
+            s = links.setdefault(id(n), [0, 0, i, i])
+            s[0] += len(kept[i].text)
+            s[1] += kept[i].links
+            s[3] = i
     out = []
-    for b in inside:
-        n = list_of(b)
-        if n is not None and (s := lists[id(n)])[0] >= 3 and s[2] >= 0.9 * s[1] and s[1] < MENU_TEXT * s[0] and not (said and said[0] < s[3] and s[4] < said[-1]):
+    for i, b in enumerate(kept):
+        if i == title:
+            out.append(b.text)
+        if not inside[i]:
             continue
+        between = bool(said) and said[0] < i < said[-1]
+        if lists[i] is not None and not between:
+            text, linked, first, last = links[id(lists[i])]
+            if last > first and linked >= 0.9 * text and max(loose[first : last + 1]) < limit:
+                continue  # a menu at an edge of the article
+        if at.tag in ("html", "body") and said and not between and i not in said and b.node.tag not in _HEADING and loose[i] < limit:
+            continue  # nothing holds the article apart from what stands before and after it
         out.append(b.text)
     return "\n".join(out)
 
 
 def extract_pages(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns `keep`, text and n_chars for each row of `pages(html)`."""
+    """The columns `keep` but those called like a result, text and n_chars for each row of `pages(html)`."""
+    keep = [c for c in keep if c.lower() not in ("text", "n_chars")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

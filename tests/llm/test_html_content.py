@@ -1,7 +1,9 @@
+import random
 import re
 
 import pytest
 
+from loamwork.llm import html_content
 from loamwork.llm.html_content import extract, extract_pages, op6_html_content
 
 LEAD = "The council met on Tuesday, and its members talked for three hours about the bridge."
@@ -114,3 +116,82 @@ def test_words_in_classes_and_ids_do_not_drop_content():
     assert extract(wrap) == "\n".join([LONG] * 3)
     paper = f'<body><article>{part}<section id="discussion">{part}</section><div class="notice">{part}</div><div class="newsletter">{part}</div>{part}</article><div id="discussion">{part}</div></body>'
     assert extract(paper) == "\n".join([LONG] * 4)
+
+
+def test_an_articles_own_parts_stay():
+    part = f"<p>{LONG}</p>"
+    for own in ('<section class="related-work">', '<div id="discussion">', '<div class="notice-of-death">', '<section id="menu-of-the-day">', '<div class="response">'):
+        end = own.split()[0].replace("<", "</") + ">"
+        assert extract(f"<body><nav>{LINKS}</nav><article><h1>T</h1>{part * 2}{own}<h2>More</h2>{part}{end}</article></body>") == "\n".join(["T", LONG, LONG, "More", LONG]), own
+        assert extract(f"<body><div><h1>T</h1>{part * 2}{own}<h2>More</h2>{part}{end}{part}</div></body>") == "\n".join(["T", LONG, LONG, "More", LONG, LONG]), own
+
+
+def test_an_advert_without_a_name_beside_the_story():
+    menu = '<div><a href="/">Home</a> <a href="/n">News</a></div>'
+    for offer in ("<div>Buy two, get one free, only today!</div>", "<div><p>Shoes for less.</p><p>Hats for nothing.</p></div>", "<table><tr><td>Sale</td></tr></table>"):
+        assert extract(f"<body>{menu}<div><h1>The old bridge</h1>{STORY}</div>{offer}{menu}</body>") == TEXT
+        assert extract(f"<body>{menu}<h1>The old bridge</h1><div>{STORY}</div>{offer}{menu}</body>") == TEXT
+        assert extract(f"<body>{offer}{menu}<h1>The old bridge</h1>{STORY}{menu}</body>") == TEXT
+
+
+def test_remarks_alone_are_no_article():
+    assert extract(f'<body><div class="comments"><h2>2 comments</h2>{REMARK * 2}</div></body>') == ""
+    assert extract(f'<body><ol class="commentlist"><li class="comment">{REMARK}</li></ol></body>') == ""
+    remarks = f'<div id="discussion"><div class="item">{REMARK}</div><div class="item">{REMARK}</div></div>'
+    assert extract(f"<body><div><h1>The old bridge</h1>{STORY}{remarks}<p>{LONG}</p></div></body>") == f"{TEXT}\n{LONG}"
+
+
+def test_the_ratios_decide(monkeypatch, spark):
+    """Without names and articles, pages come out otherwise when all ratios are alike."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    bare = [re.sub(r"</?article>", "", r.html).replace(' class="ad"', "").replace("nav>", "div>").replace("footer>", "div>") for r in rows]
+    with_ratios = [extract(p) for p in bare]
+    monkeypatch.setattr(html_content, "_ratios", lambda blocks, linked=True: [1.0] * len(blocks))
+    assert sum(extract(p) != t for p, t in zip(bare, with_ratios, strict=True)) > 0.9 * len(bare)
+
+
+def sentence(rng):
+    words = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(8, 30))]
+    words[rng.randrange(len(words) - 1)] += ","
+    return " ".join(words).capitalize() + "."
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_pages_put_together_at_random(seed):
+    """Articles of all kinds of parts within random wrappers and beside random parts that are not theirs."""
+    rng = random.Random(seed)
+    lines, parts = [], []
+
+    def part(tag, text):
+        lines.append(text)
+        return f"<{tag}>{text.replace('.', '<b>.</b>') if rng.random() < 0.3 else text}</{tag}>"
+
+    parts.append(part("h1", "A title of some words"))
+    for _ in range(rng.randint(3, 9)):
+        kind = rng.choice(["p", "p", "p", "h2", "ul", "quote", "table", "figure"])
+        if kind in ("p", "h2"):
+            parts.append(part("p", " ".join(sentence(rng) for _ in range(rng.randint(1, 4)))) if kind == "p" else part("h2", "A heading") + part("p", sentence(rng)))
+        elif kind == "ul":
+            parts.append("<ul>" + "".join(part("li", sentence(rng)) for _ in range(3)) + "</ul>")
+        elif kind == "quote":
+            parts.append("<blockquote>" + part("p", sentence(rng)) + "</blockquote>")
+        elif kind == "table":
+            parts.append("<table>" + "".join("<tr>" + part("td", f"Row {k}") + part("td", str(k)) + "</tr>" for k in range(3)) + "</table>")
+        else:
+            parts.append("<figure><img src=x>" + part("figcaption", sentence(rng)) + "</figure>")
+    parts.append(part("p", " ".join(sentence(rng) for _ in range(3))))
+    inside = ["", '<div class="share-buttons">Share: <a href=#>mail</a></div>', '<aside><p>Read this too.</p></aside>', '<div class="ad">Buy it now!</div>', "<script>x('<p>')</script>"]
+    story = "".join(x + rng.choice(inside) for x in parts)
+    tags = rng.choice(["article", "main", 'div class="content"', "div", 'div id="story"', "section"])
+    story = f"<{tags}>{story}</{tags.split()[0]}>"
+    for _ in range(rng.randint(0, 3)):
+        story = f"<div>{story}</div>"
+    before = ["<nav><ul>" + LINKS + "</ul></nav>", '<div class="cookie-notice"><p>We use cookies, as all do.</p></div>', '<header><a href="/">Site</a></header>', '<div id="menu"><ul>' + LINKS + "</ul></div>"]
+    after = ["<footer>Imprint, and so on.</footer>", f'<div class="comments">{REMARK}{REMARK}</div>', '<div class="sidebar"><h3>About</h3><p>We write, and you read.</p></div>', "<form><p>Sign up.</p><input></form>", f'<section id="comments"><ol><li>{REMARK}</li></ol></section>', '<div class="related-posts"><ul>' + LINKS + "</ul></div>"]
+    page = "<html><head><title>t</title></head><body>" + "".join(rng.sample(before, rng.randint(0, 3))) + story + "".join(rng.sample(after, rng.randint(0, 4))) + "</body></html>"
+    assert extract(page).split("\n") == lines
+
+
+def test_kept_columns_that_clash(spark):
+    rows = spark.createDataFrame([(1, "<p>x</p>", "old", 9)], "page_id long, html string, Text string, n_chars int")
+    assert [tuple(r) for r in extract_pages(rows, ["page_id", "Text", "n_chars", "html"]).collect()] == [(1, "<p>x</p>", "x", 1)]
