@@ -12,9 +12,10 @@ A document without terms in the band takes all its terms instead; one without an
 The lexicon is every term of the band. Up to MAX_LEXICON terms it goes into the plan as a literal; a larger one stays a
 table, and the documents' terms are joined to it by a shuffle, with the same results.
 
-Defined results: a null text is empty; equal texts have equal fingerprints; documents are ordered by doc_id descending
-(null last, ties by the text's hash); of a single document the next is itself; an empty table gives an empty result;
-extra columns are not read.
+Defined results: a null text is empty; equal texts have equal fingerprints; documents are ordered by doc_id (any whole
+number) descending, null last, ties by the text's hash, rows alike in both as they come; of a single document the next is
+itself; a text of any length is read whole, as one row of a task; an empty table gives an empty result; extra columns are
+not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ SUBSETS, DENSE, THIN = 64, 64, 1024
 LOW, HIGH, MAX_LEXICON = 0.004, 0.10, 20_000
 #: Signatures that the thin subsets must have to count.
 ENOUGH = 8
-#: Documents that a run of neighbours has at most on average, and runs at most.
-RUN, MAX_RUNS = 3000, 100_000
+#: Documents that a run of neighbours has on average, and runs at most.
+RUN, MAX_RUNS = 500, 40_000
 
 
 def terms(text: Column) -> Column:
@@ -74,15 +75,27 @@ def selected(t: str, words: list[int]) -> Column:
     return F.expr(f"transform(array(filter({t}, x -> x in ({literal}))), f -> if(size(f) = 0, {t}, f))[0]")
 
 
+def _parts(t: str, skip: int) -> str:
+    """SUBSETS arrays: the elements of the array `t` by the SUBSETS values of the bits from `skip` on, each ascending. The
+    elements are rotated so that those bits lead, and sorted once with a mark before each part, so that parts are slices."""
+    turn, back = skip + 6, 64 - skip - 6
+    least = "shiftleft(1L, 63)"
+    marks = f"transform(sequence(0, {SUBSETS - 1}), j -> shiftleft(cast(j as bigint), 58))"
+    rotated = f"transform({t}, x -> shiftrightunsigned(x ^ {least}, {turn}) | shiftleft(x ^ {least}, {back}))"
+    restored = f"shiftleft(x, {turn}) | shiftrightunsigned(x, {back})"
+    # the first half of the parts comes last, since its marks are not negative
+    end = f"if(j = {SUBSETS // 2 - 1}, size(a.r) + 1, a.at[(j + 1) % {SUBSETS}])"
+    cut = f"transform(sequence(0, {SUBSETS - 1}), j -> sort_array(transform(slice(a.r, cast(a.at[j] + 1 as int), cast({end} - a.at[j] - 1 as int)), x -> ({restored}) ^ {least})))"
+    placed = f"transform(array(sort_array(concat({rotated}, {marks}))), r -> struct(r, transform({marks}, m -> array_position(r, m)) as at))"
+    return f"transform({placed}, a -> {cut})[0]"
+
+
 def fingerprint(chosen: str) -> Column:
-    """From an array of the selected terms, ascending, the 128 signatures."""
-    one = "if(size({f}) = 0, '0000', lpad(lower(hex(1 + pmod(xxhash64({f}), 65535))), 4, '0'))"
-    # eights of subsets first, then each subset: a term is looked at 16 times in place of 64
-    split = lambda t, of: f"flatten(transform(sequence(0, {SUBSETS // 8 - 1}), k -> transform(array(filter({t}, x -> {of} div 8 = k)), g -> transform(sequence(0, 7), j -> filter(g, x -> {of} = 8 * k + j)))[0]))"
-    dense = split(chosen, f"pmod(x, {DENSE})")
-    few = f"pmod(shiftright(x, 8), {THIN})"
-    thin = f"transform(array(filter({chosen}, x -> {few} < {SUBSETS})), h -> {split('h', few)})[0]"
-    return F.expr(f"array_join(transform(concat({dense}, {thin}), f -> {one.format(f='f')}), '')")
+    """From an array of the selected terms, ascending, the 128 signatures: of the terms by their last six bits, and of the
+    1024 parts by the ten bits after the eighth, the first 64."""
+    one = "if(size(f) = 0, '0000', lpad(lower(hex(1 + pmod(xxhash64(f), 65535))), 4, '0'))"
+    few = f"filter({chosen}, x -> pmod(shiftright(x, 8), {THIN}) < {SUBSETS})"
+    return F.expr(f"array_join(transform(concat({_parts(chosen, 0)}, {_parts(few, 8)}), f -> {one}), '')")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -94,18 +107,37 @@ def likeness(a: str, b: str) -> Column:
     return F.expr(f"case when {a} = {b} then 1D else greatest(transform(array({total(0)}), s -> {share('s', 1)})[0], transform(array({total(SUBSETS)}), s -> {share('s', ENOUGH)})[0]) end")
 
 
+def _below(bounds: list[int], op: str) -> str:
+    """How many of the ascending `bounds` stand in the relation `op` to doc_id, in two steps of about their square root."""
+    width = max(1, int(len(bounds) ** 0.5))
+    chunks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    number = lambda b: f"{b}L" if b > -(1 << 63) else f"(-{(1 << 63) - 1}L - 1L)"
+    listed = lambda c: f"array({', '.join(map(number, c))})"
+    count = lambda of: f"size(filter({of}, b -> b {op} cast(doc_id as bigint)))"
+    inner = count(f"array({', '.join(map(listed, chunks))})[k - 1]")
+    return f"transform(array({count(listed([c[0] for c in chunks]))}), k -> if(k = 0, 0, (k - 1) * {width} + {inner}))[0]"
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
-    """(run, guest, doc_id, tie, text): the documents dealt into runs of neighbouring doc_ids, and at the end of each
-    run a guest, the first document of the run that comes after it in descending order."""
+    """(run, guest, doc_id, tie, text): the documents dealt into runs of neighbours of about equal numbers, and at the end
+    of each run a guest, the first document of the run that comes after it in descending order. Runs follow the ranks of
+    doc_ids (a sketch of quantiles, MAX_RUNS numbers at most); a doc_id that has several runs' rows, and the rows without a
+    doc_id, are dealt by the texts' hashes, which is their order."""
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    n, low, high = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    width = 1 if low is None else max(1, -(-(high - low + 1) // max(1, min(MAX_RUNS, -(-n // RUN)))))
-    run = F.lit(-1) if low is None else F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), F.lit(-1))
+    n, nulls = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    share = (F.col("tie") / F.lit(2.0**64) + 0.5).cast("double")  # 0 to 1
+    none = -1 - F.least(F.floor(share * max(1, min(MAX_RUNS, -(-nulls // RUN)))), F.lit(max(0, min(MAX_RUNS, -(-nulls // RUN)) - 1)))
+    runs = max(1, min(MAX_RUNS, -(-(n - nulls) // RUN)))
+    bounds = []
+    if runs > 1:
+        bounds = sorted(docs.agg(F.percentile_approx(F.col("doc_id").cast("bigint"), [i / runs for i in range(1, runs)], 10 * runs)).first()[0])
+    low, high = (F.expr(_below(bounds, op)) if bounds else F.lit(0) for op in ("<", "<="))
+    run = F.when(F.col("doc_id").isNull(), none).otherwise(high - F.least(F.floor(share * (high - low + 1)), high - low))
     d = d.withColumn("run", run.cast("long"))
     heads = written(d.groupBy("run").agg(F.max_by("text", F.struct("doc_id", F.bitwise_not("tie"))).alias("text")), "run_heads")
-    # the numbers of the runs, MAX_RUNS at most, are put in order in one task
+    # the numbers of the runs, 2 * MAX_RUNS at most, are put in order in one task
     after = heads.select("run", F.coalesce(F.lag("run").over(Window.orderBy("run")), F.lit(heads.agg(F.max("run")).first()[0])).alias("next_run"))
-    guests = after.join(heads.withColumnRenamed("run", "next_run"), "next_run").select("run", F.lit(1).alias("guest"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(0).cast("long").alias("tie"), "text")
+    guests = after.join(heads.withColumnRenamed("run", "next_run"), "next_run").select("run", F.lit(1).alias("guest"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     return d.select("run", F.lit(0).alias("guest"), "doc_id", "tie", "text").unionByName(guests)
 
 

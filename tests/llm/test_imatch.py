@@ -1,7 +1,11 @@
 import hashlib
 import re
+import struct
+from collections import Counter
 
 import pytest
+import regex
+import xxhash
 
 from loamwork.llm import imatch
 
@@ -95,3 +99,71 @@ def test_signatures(spark):
     parts = [[x for x in words if x % 64 == j] for j in range(64)] + [[x for x in words if (x >> 8) % 1024 == j] for j in range(64)]
     hashes = [r[0] for r in spark.createDataFrame(list(enumerate(parts)), "j int, f array<long>").orderBy("j").selectExpr("lpad(lower(hex(1 + pmod(xxhash64(f), 65535))), 4, '0')").collect()]
     assert got == "".join(h if p else "0000" for h, p in zip(hashes, parts, strict=True))
+
+
+def brute(rows):
+    """fingerprint, edited_fingerprint, near_edited and near_next of each row by descending doc_id, from the definitions."""
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    def terms(text):
+        return sorted({signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w})
+
+    def signature(part):
+        h = 42
+        for x in part:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", x), h)
+        return f"{1 + signed(h) % 65535:04x}" if part else "0000"
+
+    df = Counter(x for _, t in rows for x in terms(t or ""))
+    words = {x for x, n in df.items() if imatch.LOW * len(rows) <= n <= max(imatch.HIGH * len(rows), 1)}
+
+    def mark(text):
+        t = terms(text) or [signed(xxhash.xxh64_intdigest(text.encode(), 42))]
+        t = [x for x in t if x in words] or t
+        return [signature([x for x in t if x % 64 == j]) for j in range(64)], [signature([x for x in t if (x >> 8) % 1024 == j]) for j in range(64)]
+
+    def like(a, b):
+        if a == b:
+            return 1.0
+        shares = [0.0]
+        for x, y, enough in zip(a, b, (1, 8), strict=True):
+            some = [(p, q) for p, q in zip(x, y, strict=True) if (p, q) != ("0000", "0000")]
+            if len(some) >= enough:
+                shares.append(sum(p == q for p, q in some) / len(some))
+        return max(shares)
+
+    text = lambda m: "".join(m[0] + m[1])
+    own = {i: t or "" for i, t in rows}
+    return {i: (text(mark(own[i])), text(mark(e)), like(mark(own[i]), mark(e)), like(mark(own[i]), mark(after))) for i, e, after in edited(rows)}
+
+
+def test_query_against_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    want = brute(rows)
+    for r in imatch.op9_imatch(spark, folder).collect():
+        assert (r.fingerprint, r.edited_fingerprint) == want[r.doc_id][:2]
+        assert (r.near_edited, r.near_next) == pytest.approx(want[r.doc_id][2:])
+
+
+def test_runs_follow_ranks(spark, docs, monkeypatch):
+    """Far-off, repeated and missing doc_ids spread over runs as others do, and order is kept."""
+    monkeypatch.setattr(imatch, "RUN", 10)
+    ids = [*range(400), 10**12, (1 << 63) - 1, -(1 << 63), *[77] * 300, *[None] * 300]
+    rows = [(i, f"text {k} of {len(ids)}") for k, i in enumerate(ids)]
+    placed = imatch.neighbours(docs(*rows)).filter("guest = 0").collect()
+    sizes = Counter(r.run for r in placed)
+    assert len(placed) == len(rows) and max(sizes.values()) <= 40 and len(sizes) > 60
+    order = sorted(placed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.tie))
+    assert [r.run for r in order] == sorted((r.run for r in order), reverse=True)
+    want = {r.text: after.text for r, after in zip(order, [*order[1:], order[0]], strict=True)}
+    shas = {r.edited_sha256 for r in imatch.fingerprint_report(docs(*rows)).collect()}
+    assert shas == {hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest() for t, n in want.items()}
+
+
+def test_very_long_text_and_columns_that_clash(spark, docs):
+    rows = docs((1, "word another " * 400_000), (2, "a b c"), (3, "a b c d e f")).selectExpr("doc_id", "text", "lang AS run", "source AS tie", "n_chars AS t", "1 AS guest", "2 AS fingerprint", "3 AS term")
+    got = {r.doc_id: r for r in imatch.fingerprint_report(rows).collect()}
+    assert len(got) == 3 and got[1].n_chars == 5_200_000
