@@ -1,21 +1,25 @@
 """Removal of long repeated substrings by suffix order.
 
-A suffix whose first `length` bytes also start elsewhere is found from equality classes of suffixes to that depth, in
-place of a longest-previous-factor array: its class has another member. Sorting all
+A suffix whose first `length` bytes also start earlier has a longest previous factor of `length` or more: the longer of
+its common prefixes with the previous and with the next suffix, in suffix order, that is smaller in text order (Crochemore
+and Ilie). Sorting all
 suffixes of a corpus in one place does not scale, so the suffixes are bucketed first, by something that equal
 substrings share: the least hash of the 32-byte grams in the first `length` bytes (winnowing, Schleimer, Wilkerson and
 Aiken). A gram that is least in a run of neighbouring windows is their anchor; the bytes those windows cover are the
 anchor's context. Only anchors whose gram occurs twice can hold repeats. Copies of one context are counted, not
-compared, and the suffixes of different contexts of one gram are put in suffix order in the gram's bucket, to depth
-`length`. There, suffixes with a common prefix of `length` stand together, and one has an earlier match of that length
-(its class has an earlier member) just if it is not the first of them in text order.
+compared (they share the gram and a 64-bit hash of the whole context), and the suffixes of different contexts of one gram
+are put in suffix order in the gram's bucket, to depth `length`, where the arrays of common prefixes, of previous and next
+smaller positions and of longest previous factors are computed. A suffix with any match, earlier or later, has a common
+prefix of `length` with a neighbour in suffix order.
 
 A bucket with over `bucket` different contexts is not sorted in one task: its windows are dealt out by their own hash
-and counted with map-side combination, which finds the same repeats.
+and counted with map-side combination, an exact way for the rest that finds the same repeats.
 
 Text order is that of doc_id (null last), a hash of the text, and the offset. `keep_first` removes later copies and
 keeps the first; without it every copy goes, the first included.
 
+Long texts are anchored in segments that overlap by `length` - 1 bytes, so that no arrays of a whole text are made.
+
 Defined results: a null text is empty; texts shorter than `length` are kept whole; a row that occurs twice repeats all
 its bytes; rows are told apart by doc_id and a hash of their text, nulls too; an empty table gives an empty result;
 columns that clash with internal names do no harm, since only doc_id and text are read.
@@ -82,20 +86,28 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[bytes, np.ndarray
     return joined, starts, of[first], h[own[first]], ok[first], ok[last]
 
 
-def _text_blocks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    start, size = 0, 0
+def _text_blocks(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Blocks of segments of texts: each one's text, where in it the segment begins, and its bytes. Every window of
+    `length` bytes lies in one segment."""
+    of, at, held, size = [], [], [], 0
     for i, t in enumerate(texts):
-        if i > start and size + len(t) > BLOCK:
-            yield start, texts[start:i]
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, texts[start:]
-
-
-def suffix_classes(windows: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """The strings of at least `length` bytes end to end, their suffixes of that length or more put in order to that
-    depth: (the place in `windows` of each suffix, its class). Suffixes are equal to that depth just if their classes are."""
+        for start in range(0, max(1, len(t) - length + 1), BLOCK):
+            part = t[start : start + BLOCK + length - 1]
+            if held and size + len(part) > BLOCK:
+                yield np.array(of), np.array(at), held
+                of, at, held, size = [], [], [], 0
+            of.append(i)
+            at.append(start)
+            held.append(part)
+            size += len(part)
+    if held:
+        yield np.array(of), np.array(at), held
+
+
+def suffix_order(windows: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the strings of at least `length` bytes, the suffixes of that length or more, numbered in text order: (the place
+    in `windows` of each, the suffixes in suffix order to that depth, the length of what each one there has in common with
+    the one before it, `length` at most)."""
     sizes = np.array([len(w) for w in windows], dtype=np.int64)
     buf = np.frombuffer(b"".join(windows) + bytes(8), dtype=np.uint8)
     n = len(buf) - 8
@@ -118,7 +130,47 @@ def suffix_classes(windows: list[bytes], length: int = LENGTH) -> tuple[np.ndarr
             done += size
     if done < length:  # the last piece overlaps
         key = np.unique(key << 32 | ranks[8][place + length - 8], return_inverse=True)[1].astype(np.int64)
-    return owner, key
+    at = np.argsort(key, kind="stable")
+    lcp = np.zeros(len(at), dtype=np.int32)
+    same = key[at[1:]] == key[at[:-1]]
+    lcp[1:][same] = length
+    other = np.flatnonzero(~same) + 1
+    x, y = place[at[other - 1]], place[at[other]]
+    depth = np.zeros(len(other), dtype=np.int64)
+    for size in sorted(ranks, reverse=True):
+        fits = np.flatnonzero(depth + size <= length)
+        equal = ranks[size][x[fits] + depth[fits]] == ranks[size][y[fits] + depth[fits]]
+        depth[fits[equal]] += size
+    going = np.arange(len(other))
+    for _ in range(7):  # less than the least piece is left
+        going = going[(depth[going] < length) & (buf[x[going] + depth[going]] == buf[y[going] + depth[going]])]
+        depth[going] += 1
+    lcp[other] = depth
+    return owner, at, lcp
+
+
+def longest_previous(at: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each suffix, from the suffixes in suffix order and their common prefixes: what it
+    has in common with the nearest one before or after it there that is smaller in text order. Pointers to the nearest
+    smaller position jump over each other, all at once, each with the least common prefix on its way."""
+
+    def side(at: np.ndarray, common: np.ndarray) -> np.ndarray:
+        to, least = np.arange(len(at)) - 1, common.copy()
+        todo = np.arange(1, len(at))
+        todo = todo[at[todo - 1] > at[todo]]
+        while len(todo):
+            over = to[todo]
+            further, shorter = to[over], least[over]
+            to[todo], least[todo] = further, np.minimum(least[todo], shorter)
+            todo = todo[(further >= 0) & (least[todo] > 0)]
+            todo = todo[at[to[todo]] > at[todo]]
+        least[to < 0] = 0
+        return least
+
+    both = np.maximum(side(at, lcp), side(at[::-1], np.r_[0, lcp[:0:-1]].astype(lcp.dtype))[::-1])
+    out = np.empty(len(at), dtype=lcp.dtype)
+    out[at] = both
+    return out
 
 
 def _runs(flags: np.ndarray) -> list[int]:
@@ -127,19 +179,13 @@ def _runs(flags: np.ndarray) -> list[int]:
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1], axis=1).reshape(-1).tolist()
 
 
-def repeats(grams: list[int], windows: list[bytes], order: list[int], length: int = LENGTH) -> tuple[list[list[int]], list[list[int]]]:
-    """For each context: the runs of its windows that occur in another context of its gram, and of those that occur in
-    one earlier in `order`."""
-    owner, key = suffix_classes(windows, length)
-    rank = np.empty(len(windows), dtype=np.int64)
-    rank[np.argsort(np.asarray(order, dtype=object), kind="stable")] = np.arange(len(windows))
-    at = np.argsort(key, kind="stable")
-    starts = np.flatnonzero(np.r_[True, key[at][1:] != key[at][:-1]])
-    least = np.minimum.reduceat(rank[owner[at]], starts)
-    size = np.diff(np.r_[starts, len(at)])
-    shared, later = np.empty(len(at), dtype=bool), np.empty(len(at), dtype=bool)
-    shared[at] = np.repeat(size > 1, size)
-    later[at] = rank[owner[at]] > np.repeat(least, size)
+def repeats(windows: list[bytes], length: int = LENGTH) -> tuple[list[list[int]], list[list[int]]]:
+    """For each context, in text order: the runs of its windows that occur in another context, and of those that occur in
+    an earlier one."""
+    owner, at, lcp = suffix_order(windows, length)
+    shared = np.empty(len(at), dtype=bool)
+    shared[at] = np.maximum(lcp, np.r_[lcp[1:], 0]) >= length
+    later = longest_previous(at, lcp) >= length
     cuts = np.searchsorted(owner, np.arange(1, len(windows)))
     return [_runs(x) for x in np.split(shared, cuts)], [_runs(x) for x in np.split(later, cuts)]
 
@@ -151,19 +197,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, block in _text_blocks([t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()]):
+            for _, _, block in _text_blocks([t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()], length):
                 h, n = np.unique(anchors(block, length)[3], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, block in _text_blocks([t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()]):
+            for text, at, block in _text_blocks([t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()], length):
                 joined, starts, of, h, first, last = anchors(block, length)
                 digest = xxhash.xxh3_64_intdigest
                 c = np.array([digest(joined[x:y]) for x, y in zip(first.tolist(), (last + length).tolist(), strict=True)], dtype=np.uint64)
-                rows_at = pa.array(of.astype(np.int64) + at)
+                rows_at = pa.array(text[of])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), b.column(0).take(rows_at), b.column(1).take(rows_at), pa.array(first - starts[of]), pa.array((last - first).astype(np.int32))],
+                    [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), b.column(0).take(rows_at), b.column(1).take(rows_at), pa.array(first - starts[of] + at[of]), pa.array((last - first).astype(np.int32))],
                     names=["gram", "context", "doc_id", "sd_hash", "first", "more"],
                 )
 
@@ -206,7 +252,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
             for i, r in enumerate(part):
                 seen.setdefault(r[:2], i)  # rows alike in doc_id and text give a context more than once
             part = [part[i] for i in seen.values()]
-            shared, later = repeats([r[0] for r in part], [r[3] for r in part], list(range(len(part))), length)
+            shared, later = repeats([r[3] for r in part], length)
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array(shared, pa.list_(pa.int32())), pa.array(later, pa.list_(pa.int32()))],
                 names=["gram", "context", "shared", "later"],

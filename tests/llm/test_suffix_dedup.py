@@ -82,18 +82,57 @@ def test_first_copies_stay(spark, docs):
 
 
 @pytest.mark.parametrize("length", [8, 33, 100, 200, 255, 256])
-def test_suffix_classes(length):
+def test_suffix_order_and_longest_previous_factors(length):
     rng = np.random.default_rng(length)
-    windows = [bytes(rng.choice(list(b"ab"), rng.integers(length, length + 40))) for _ in range(30)]
+    windows = [rng.choice(list(b"ab"), rng.integers(length, length + 25)).astype(np.uint8).tobytes() for _ in range(10)]
     windows += [w[:length] for w in windows[:5]]
-    owner, key = sd.suffix_classes(windows, length)
+    owner, at, lcp = sd.suffix_order(windows, length)
     strings = [w[i : i + length] for w in windows for i in range(len(w) - length + 1)]
     assert owner.tolist() == [k for k, w in enumerate(windows) for _ in range(len(w) - length + 1)]
-    names = {}
-    for s, k in zip(strings, key.tolist(), strict=True):
-        assert names.setdefault(s, k) == k
-    assert len(set(names.values())) == len(names)
-    assert [k for _, k in sorted(names.items())] == sorted(names.values())
+    assert at.tolist() == sorted(range(len(strings)), key=lambda i: (strings[i], i))
+
+    def common(x, y):
+        return next((i for i, (a, b) in enumerate(zip(x, y, strict=True)) if a != b), length)
+
+    assert lcp.tolist() == [0] + [common(strings[i], strings[j]) for i, j in zip(at, at[1:], strict=False)]
+    lpf = sd.longest_previous(at, lcp)
+    assert lpf.tolist() == [max((common(s, e) for e in strings[:i]), default=0) for i, s in enumerate(strings)]
+
+
+@pytest.mark.parametrize("order", [range(500), range(499, -1, -1), [i ^ 1 for i in range(500)], [(i * 181) % 500 for i in range(500)]])
+def test_smaller_positions_in_any_order(order):
+    at, lcp = np.array(order), np.random.default_rng(1).integers(0, 9, 500).astype(np.int32)
+    lcp[0] = 0
+    want = np.zeros(500, dtype=int)
+    for i in range(500):
+        for step in (-1, 1):
+            j, least = i, 99
+            while 0 <= j + step < 500:
+                least = min(least, lcp[max(j, j + step)])
+                j += step
+                if at[j] < at[i]:
+                    want[at[i]] = max(want[at[i]], least)
+                    break
+    assert sd.longest_previous(at, lcp).tolist() == want.tolist()
+
+
+def test_segments_of_long_texts(spark, docs, monkeypatch):
+    """The same results when texts are anchored in short segments; repeats stand across their edges."""
+    rows = odd_texts() + [(40, "".join(t or "" for _, t in odd_texts())), (41, "q" * 777 + "".join(t or "" for _, t in odd_texts())), (42, "w" * 5000)]
+    want = Counter((i, *w) for (i, _), w in zip(rows, brute([(t or "").encode() for _, t in rows]), strict=True))
+    for block in (1_000_000, 321):
+        monkeypatch.setattr(sd, "BLOCK", block)
+        texts = [(t or "").encode() for _, t in rows]
+        for of, at, parts in sd._text_blocks(texts, 200):
+            assert all(texts[i][k : k + len(p)] == p for i, k, p in zip(of, at, parts, strict=True))
+        assert Counter(tuple(r) for r in sd.removal_report(docs(*rows)).collect()) == want
+
+
+def test_a_very_long_text(spark, docs):
+    rng = np.random.default_rng(8)
+    long = "".join(map(chr, rng.integers(97, 123, 6_000_000)))
+    got = {r.doc_id: r for r in sd.removal_report(docs((1, long), (2, "x" * 100 + long[3_000_000:3_000_400]), (3, "a"))).collect()}
+    assert (got[1].n_removed, got[1].n_spans, got[2].n_removed, got[3].n_removed) == (400, 1, 400, 0)
 
 
 def test_empty(spark, docs):
