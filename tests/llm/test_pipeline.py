@@ -7,8 +7,8 @@ import pytest
 import corpus_pipeline as pipeline
 from loamwork.llm import bpe, mixing
 
+from .test_near_copies import brute_kept
 from .test_quality import brute
-from .test_simhash import brute_components, brute_fingerprint
 from .test_suffix_dedup import brute_later
 
 
@@ -18,8 +18,8 @@ def test_stages_against_brute_force(spark):
     rows = spark.read.parquet(f"{folder}/documents.parquet").orderBy("doc_id").collect()
     ok = {r[0] for r in brute([(r.doc_id, r.text, r.lang) for r in rows]) if r[7]}
     rows = [r for r in rows if r.doc_id in ok]
-    least = brute_components([brute_fingerprint(r.text) for r in rows])
-    rows = [r for i, r in enumerate(rows) if least[i] == i]
+    stay = set(brute_kept([(r.doc_id, r.text) for r in rows]))
+    rows = [r for r in rows if r.doc_id in stay]
     texts = [t.decode("utf-8", "ignore") for t in brute_later([r.text.encode() for r in rows])]
     frame = spark.createDataFrame([(r.doc_id, t, r.lang, r.source, len(t)) for r, t in zip(rows, texts, strict=True)], "doc_id long, text string, lang string, source string, n_chars long")
     copies = {r.doc_id: r.copies for r in mixing.mixing_plan(frame).collect()}
@@ -39,6 +39,19 @@ def test_columns_odd_rows_and_empty(spark, docs, at):
         assert out.columns == d.columns
 
 
+def test_columns_that_clash(spark, docs):
+    """Columns called like what the stages use within come through them all."""
+    d = docs(*((i, f"word {i} of some text that is long enough to stay here, and the end of it is {i}. " * 3, "en", "s") for i in range(12)))
+    for names in (["set_id", "row_", "key_"], ["sd_hash", "sd_spans", "s_id"], ["q_row", "q_text", "kept"], ["size", "rate", "copy"], ["n_tokens2", "row_hash", "nth"], ["token", "group", "bits"]):
+        wide = d.selectExpr("*", *(f"doc_id * 2 AS {n}" for n in names))
+        out = wide
+        for _, stage in pipeline.STAGES[:-1]:
+            out = stage(spark, out, "")
+            assert out.columns == wide.columns
+        assert all(r[n] == 2 * r.doc_id for r in out.collect() for n in names)
+        assert pipeline.STAGES[-1][1](spark, out, "").count() == out.count()
+
+
 def test_entry_without_the_subpackage():
     """What is left imports and answers when the subpackage and the pipeline are gone."""
     import importlib
