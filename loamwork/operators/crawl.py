@@ -11,6 +11,7 @@ without text; a seed whose URL cannot be crawled raises; without seeds the resul
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from urllib.robotparser import RobotFileParser
 
@@ -73,10 +74,12 @@ def outcome(final: Column) -> Column:
     )
 
 
-def pages_of(fetched: DataFrame, pdfs: DataFrame | None = None, robots: bool = True, suffixes: tuple[str, ...] = ()) -> DataFrame:
+def pages_of(fetched: DataFrame, pdfs: DataFrame | None = None, robots: bool | DataFrame = True, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """Every fetch result that is a document, extracted: (url, final_url, title, markdown, content_type, child_links,
-    pdf_links). `pdfs(url, title, markdown, child_links, pdf_links)` are PDF documents already extracted, by final URL."""
-    a = allowed(fetched, robots_rules(fetched)) if robots else fetched.withColumn("allowed", F.lit(True))
+    pdf_links). `pdfs(url, title, markdown, child_links, pdf_links)` are PDF documents already extracted, by final URL.
+    `robots`: the rules, or whether those among the results hold."""
+    rules = robots_rules(fetched) if robots is True else robots
+    a = fetched.withColumn("allowed", F.lit(True)) if rules is False else allowed(fetched, rules)
     a = a.withColumn("final", F.coalesce(normalize_absolute(F.col("final_url")), F.col("url")))
     a = a.withColumn("outcome", outcome(F.col("final"))).filter("outcome in ('html', 'pdf')")
     texts = a.filter("outcome = 'html'").select("url", "final", utf8("content").alias("html"))
@@ -98,9 +101,10 @@ def children(found: DataFrame, start: str, follow: list[str], follow_pdfs: bool)
     return first.select(F.col("link").alias("url"), "at.*")
 
 
-def crawl(spark: SparkSession, seeds: list[dict], pages: DataFrame) -> DataFrame:
+def crawl(spark: SparkSession, seeds: list[dict], pages: DataFrame, extract: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The documents that `seeds` reach in `pages` (see `pages_of`): (seed, place, url, depth, parent_url, ...), place
-    in order of discovery, all seeds numbered through. `seeds` are rows of the seeds table."""
+    in order of discovery, all seeds numbered through. `seeds` are rows of the seeds table. With `extract`, `pages` are
+    fetch results, and a level's are extracted when it reaches them, and no others."""
     visited = spark.createDataFrame([], "url string")
     everything = spark.createDataFrame([], _FOUND)
     count = 0
@@ -112,9 +116,12 @@ def crawl(spark: SparkSession, seeds: list[dict], pages: DataFrame) -> DataFrame
         left = seed.get("max_pages", 20)
         for depth in range(seed.get("max_depth", 0) + 1):
             fresh = front.join(visited, "url", "left_anti")
+            if extract is not None:
+                fresh = written(fresh, "crawl_front")
             order = Window.orderBy("place", "kind", "pos")
             # a level holds the links of `max_pages` documents at most, so its order is made in one task
-            level = written(fresh.withColumn("n", F.row_number().over(order)).join(pages, "url", "left"), "crawl_level")
+            here = pages if extract is None else extract(pages.join(fresh.select("url"), "url", "left_semi"))
+            level = written(fresh.withColumn("n", F.row_number().over(order)).join(here, "url", "left"), "crawl_level")
             # a URL that an earlier document of the level was redirected to has been visited
             moved = level.filter("final is not null and final <> url").select(F.col("final").alias("to"), F.col("n").alias("by"))
             level = level.join(moved, (F.col("url") == F.col("to")) & (F.col("n") > F.col("by")), "left_anti")
@@ -135,21 +142,20 @@ def crawl(spark: SparkSession, seeds: list[dict], pages: DataFrame) -> DataFrame
     return everything
 
 
-def family(edges: DataFrame, hits: DataFrame, limit: int = 100) -> DataFrame:
-    """(hit, doc_id): every document in the tree that a hit belongs to, up to its top and down again. `edges(doc_id,
-    parent)`; a cycle ends where it began; `limit` bounds the depth."""
-    up = written(hits.select(F.col("doc_id").alias("hit"), "doc_id"), "family")
-    for _ in range(limit):
-        more = up.join(edges.filter("parent is not null"), "doc_id").select("hit", F.col("parent").alias("doc_id"))
-        more = more.join(edges.select("doc_id"), "doc_id", "left_semi").select("hit", "doc_id").join(up, ["hit", "doc_id"], "left_anti")
-        grown = written(up.union(more).distinct(), "family")
-        if grown.count() == up.count():
-            break
-        up = grown
-    for _ in range(limit):
-        more = up.withColumnRenamed("doc_id", "parent").join(edges, "parent").select("hit", "doc_id").join(up, ["hit", "doc_id"], "left_anti")
-        grown = written(up.union(more).distinct(), "family")
-        if grown.count() == up.count():
-            break
-        up = grown
-    return up
+def family(edges: DataFrame) -> DataFrame:
+    """(doc_id, top): for every document of `edges(doc_id, parent)` the top of the tree it belongs to, which all of its
+    family share; for those on or below a cycle, the least document of the cycle. A parent that is not in the table is
+    none. Pointers to ancestors double, so a tree costs as many joins as its depth has binary digits."""
+    nodes = written(edges.filter("doc_id is not null").groupBy("doc_id").agg(F.min("parent").alias("parent")), "family_edges")
+    known = nodes.filter("parent is not null").join(nodes.select(F.col("doc_id").alias("parent")), "parent", "left_semi")
+    rest = nodes.join(known.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(None).cast(nodes.schema["doc_id"].dataType).alias("up"), F.col("doc_id").alias("end"))
+    # up: the ancestor 2^k steps above, null beyond the top; end: the last one before that; least: of all those passed
+    state = written(known.select("doc_id", F.col("parent").alias("up"), F.col("parent").alias("end")).union(rest).withColumn("least", F.col("doc_id")), "family")
+    total, reach = state.count(), 1
+    while reach <= total and not state.filter("up is not null").isEmpty():
+        above = state.select(F.col("doc_id").alias("up"), F.col("up").alias("higher"), F.col("end").alias("top"), F.col("least").alias("low"))
+        climbed = state.filter("up is not null").join(above, "up").select("doc_id", F.col("higher").alias("up"), F.col("top").alias("end"), F.least("least", "low").alias("least"))
+        state, reach = written(climbed.union(state.filter("up is null").select(climbed.columns)), "family"), 2 * reach
+    tops = state.filter("up is null").select("doc_id", F.col("end").alias("top"))
+    loops = state.filter("up is not null")  # `up` is on the cycle, and what it has passed is the whole of it
+    return tops.union(loops.select("doc_id", "up").join(loops.select(F.col("doc_id").alias("up"), F.col("least").alias("top")), "up").select("doc_id", "top"))

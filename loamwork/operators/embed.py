@@ -48,8 +48,14 @@ def embed_with(load: Callable[[], Embedder], dim: int = EMBEDDING_DIM):
 
 
 def bucket(word: Column, dim: int = EMBEDDING_DIM) -> Column:
-    """The word's SHA-256, read as one number, modulo `dim`: Horner's rule over eight digits of 32 bits."""
+    """The word's SHA-256, read as one number, modulo `dim`. For 256 times 3: the last byte, and the digits' sum modulo 3
+    (16 leaves 1), put together; otherwise Horner's rule over eight digits of 32 bits."""
     digest = F.sha2(word, 256)
+    if dim == 768:
+        twos = F.length(F.translate(digest, "0369cf147ad", ""))
+        ones = F.length(F.translate(digest, "0369cf258be", ""))
+        last = F.conv(F.substring(digest, 63, 2), 16, 10).cast("int")
+        return (last + 256 * F.pmod(ones + 2 * twos - last, F.lit(3))).cast("int")
     digit = lambda k: F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long")
     out = F.pmod(digit(0), F.lit(dim))
     for k in range(1, 8):

@@ -30,6 +30,8 @@ TOGGLE_CLASS = re.compile("accordion__toggle|accordion-button|accordion-header|t
 HEADINGS = {f"h{n}": n for n in range(1, 7)}
 BLOCKS = set("p div section article main aside ul ol li table blockquote dl dt dd pre figure figcaption details summary hr address button".split()) | set(HEADINGS)
 TOGGLE_LEVEL = 3
+#: Elements nested deeper lend their text to the one that holds them.
+DEPTH = 400
 
 
 class Node:
@@ -82,13 +84,19 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.now = Node("", {}, None)
         self.open: dict[str, int] = {}
+        self.flat: dict[str, int] = {}
+        self.depth = 0
         self.cut = False
 
     def handle_starttag(self, tag, attrs):
+        if self.depth >= DEPTH and tag not in VOID:
+            self.flat[tag] = self.flat.get(tag, 0) + 1
+            return
         node = Node(tag, {k: v or "" for k, v in attrs}, self.now)
         self.now.children.append(node)
         if tag not in VOID:
             self.now = node
+            self.depth += 1
             self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
@@ -97,12 +105,16 @@ class _Builder(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if self.flat.get(tag):
+            self.flat[tag] -= 1
+            return
         if not self.open.get(tag):
             return
         found = False
         while not found:
             found = self.now.name == tag
             self.open[self.now.name] -= 1
+            self.depth -= 1
             self.now = self.now.parent
 
     def handle_data(self, data):

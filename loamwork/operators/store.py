@@ -25,6 +25,11 @@ def latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return best.select(key, *(F.col(f"r.{c}").alias(c) for c in names))
 
 
+def _last(rows: DataFrame) -> list[Column]:
+    """What orders rows with one key: `place` where there is one, then a hash."""
+    return [*([F.col("place")] if "place" in rows.columns else []), F.xxhash64(*(F.col(c) for c in rows.columns))]
+
+
 def incoming_documents(found: DataFrame, seeds: DataFrame, as_of: Column) -> DataFrame:
     """Crawled documents as rows to store: attributes are those of the seed, the parent is the document of the same
     seed whose URL is the parent's."""
@@ -43,7 +48,7 @@ def upsert_documents(existing: DataFrame, incoming: DataFrame, key: str = "sourc
     differ), or kept (not in the run). What is not overwritten, ids among it, stays as it was."""
     fields = OVERWRITTEN if overwritten is None else overwritten
     names = existing.columns
-    old, new = existing.alias("old"), incoming.alias("new")
+    old, new = existing.alias("old"), latest(incoming, key, _last(incoming)).alias("new")
     both = old.join(new, F.col(f"old.{key}") == F.col(f"new.{key}"), "full_outer")
     is_in, was_in = F.col(f"new.{key}").isNotNull(), F.col(f"old.{key}").isNotNull()
     value = lambda c: F.when(is_in, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")) if c in fields else F.when(was_in, F.col(f"old.{c}")).otherwise(F.col(f"new.{c}"))
@@ -53,7 +58,8 @@ def upsert_documents(existing: DataFrame, incoming: DataFrame, key: str = "sourc
 
 def upsert_rows(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """All columns of rows with a known key overwritten, new keys added."""
-    return existing.join(incoming.select(key), key, "left_anti").select(existing.columns).unionByName(incoming.select(existing.columns))
+    rows = latest(incoming, key, _last(incoming))
+    return existing.join(rows.select(key), key, "left_anti").select(existing.columns).unionByName(rows.select(existing.columns))
 
 
 def to_embed(status: DataFrame, new_chunks: DataFrame, old_chunks: DataFrame, force: bool = False) -> DataFrame:

@@ -28,8 +28,8 @@ def ingest(
     """Crawls `fetched` from the seeds, chunks what is found, and writes documents and chunks to the warehouse; only
     chunks of new or changed documents meet `embed`, a function of a text column. Without a warehouse nothing is stored
     (a dry run)."""
-    pages = written(crawl.pages_of(fetched, pdfs, robots), "pages")
-    found = written(crawl.crawl(spark, seeds, pages), "found")
+    rules = written(crawl.robots_rules(fetched), "robots") if robots else False
+    found = written(crawl.crawl(spark, seeds, fetched, lambda reached: crawl.pages_of(reached, pdfs, rules)), "found")
     made = store.incoming_documents(found, as_table(spark, seeds, "seeds"), as_of)
     incoming = written(made, "incoming")
     chunks = written(chunk.chunks(incoming, ["doc_id"], "title", "parsed_content", max_chars), "chunks")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import written
 from ..functions.rules import is_current, matches
 from ..functions.text import snippet
 from ..operators.crawl import family
@@ -30,5 +31,8 @@ def search(documents: DataFrame, chunks: DataFrame, query: list[float], k: int =
 
 
 def with_family(documents: DataFrame, hits: DataFrame) -> DataFrame:
-    """(hit, doc_id): the documents of each hit's family."""
-    return family(documents.select("doc_id", F.col("parent_doc_id").alias("parent")), hits.select("doc_id").distinct())
+    """(hit, doc_id): the documents of each hit's family; `hits` are the few that a search returns. For all documents at
+    once, `family` gives every one's top."""
+    members = written(family(documents.select("doc_id", F.col("parent_doc_id").alias("parent"))), "families")
+    tops = members.join(hits.select("doc_id").distinct(), "doc_id").select(F.col("doc_id").alias("hit"), "top")
+    return tops.join(members, "top").select("hit", "doc_id")
