@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -55,8 +55,8 @@ ORDER BY list_cosine_distance(embedding::DOUBLE[], q), vec_id LIMIT 5
 def vector_topk(spark, sf_dir):
     """The five vectors nearest to vector 0."""
     items = _table(spark, sf_dir, "embeddings")
-    query = items.filter("vec_id = 0").first()["embedding"]
-    return vector.top_k(items, query, 5).select("vec_id", "label", (F.round("distance", 6) + 0.0).alias("distance"))
+    query = items.filter("vec_id = 0").select("embedding").head()
+    return vector.top_k(items.filter(F.lit(query is not None)), list(query["embedding"]) if query else [], 5).select("vec_id", "label", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
 @_query("""
@@ -243,13 +243,13 @@ def _two_versions(spark, sf_dir):
     a = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string")).alias("source_url"), F.col("source").alias("title"), "text", "lang")
     hashed = lambda d: d.withColumn("content_hash", tx.content_hash(F.col("title"), F.col("text"))).drop("text", "lang")
     changed = F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    return hashed(a.filter("lang <> 'de'")), hashed(a.filter("lang <> 'es'").withColumn("text", changed))
+    return hashed(a.filter("lang is distinct from 'de'")), hashed(a.filter("lang is distinct from 'es'").withColumn("text", changed))
 
 
 _VERSIONS = """
 WITH a AS (SELECT doc_id::VARCHAR AS doc_id, source AS title, lang, text FROM documents),
-o AS (SELECT doc_id, title, sha256(title || chr(10) || text) AS h FROM a WHERE lang <> 'de'),
-n AS (SELECT doc_id, title, sha256(title || chr(10) || CASE WHEN lang = 'fr' THEN text || '!' ELSE text END) AS h FROM a WHERE lang <> 'es'),
+o AS (SELECT doc_id, title, sha256(title || chr(10) || text) AS h FROM a WHERE lang IS DISTINCT FROM 'de'),
+n AS (SELECT doc_id, title, sha256(title || chr(10) || CASE WHEN lang = 'fr' THEN text || '!' ELSE text END) AS h FROM a WHERE lang IS DISTINCT FROM 'es'),
 u AS (SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.title, o.title) AS title, coalesce(n.h, o.h) AS content_hash,
              CASE WHEN n.doc_id IS NULL THEN 'kept' WHEN o.doc_id IS NULL THEN 'new' WHEN o.h <> n.h THEN 'changed' ELSE 'touched' END AS status
       FROM o FULL JOIN n ON o.doc_id = n.doc_id)
@@ -357,8 +357,8 @@ SELECT a.doc_id AS hit, b.doc_id FROM t a JOIN t b USING (top)
 """)
 def family_chain(spark, sf_dir):
     """Every page's family, in chains of five pages."""
-    edges = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.when(F.col("page_id") % 5 != 0, F.col("page_id") - 1).alias("parent"))
-    return crawl.family(edges, edges)
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.when(F.col("page_id") % 5 != 0, F.col("page_id") - 1).alias("parent_doc_id"))
+    return search.with_family(pages, pages)
 
 
 # --- conversations ------------------------------------------------------------------------------------------------------
@@ -501,31 +501,159 @@ def retention_purge(spark, sf_dir):
     return privacy.purged(rows, F.expr("TIMESTAMP_NTZ '2024-04-15 00:00:00'"))
 
 
-# --- fixtures: the tables hold no site that links to itself, and no PDF -------------------------------------------------
+# --- more of the batch run, over derived inputs --------------------------------------------------------------------------
+
+
+_HEADED = _CHUNKS.replace("SELECT doc_id, source AS title, greatest(1200 - length(source) - 2, 200) AS budget", "SELECT doc_id, 'Corpus > ' || source || ' > ' || lang AS title, greatest(1200 - length('Corpus > ' || source || ' > ' || lang) - 2, 200) AS budget")
+
+
+@_query(_HEADED)
+def chunk_headed(spark, sf_dir):
+    """Every document's chunks below two headings and a title."""
+    a = _table(spark, sf_dir, "documents")
+    markdown = F.concat(F.lit("# "), F.col("source"), F.lit("\n\n## Nothing here\n\n# "), F.col("source"), F.lit("\n\n## "), F.col("lang"), F.lit("\n\n"), F.col("text"))
+    return chunk.chunks(a.select("doc_id", F.lit("Corpus").alias("title"), markdown.alias("markdown")), ["doc_id"], "title", "markdown").select("doc_id", "chunk_index", "chunk_text")
+
+
+@_query("""
+WITH n AS (SELECT n_regionkey AS k, count(*) AS n, string_agg('- ' || n_name, chr(10) ORDER BY n_nationkey) AS items, string_agg('**' || n_nationkey || '**' || chr(10) || ': ' || n_name, chr(10) ORDER BY n_nationkey) AS terms,
+                  string_agg(chr(10) || '  ' || nth || '. ' || n_name, '' ORDER BY n_nationkey) AS nested, string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS cells
+           FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS nth FROM nation) GROUP BY n_regionkey)
+SELECT r_regionkey, r_name AS title, '# ' || r_name || chr(10) || chr(10) || '## Nations' || chr(10) || chr(10) || items || chr(10) || chr(10) || '### By number' || chr(10) || chr(10) || '| Key | Nation |' || chr(10) || '| --- | --- |' || chr(10) || cells
+  || chr(10) || chr(10) || terms || chr(10) || chr(10) || '- all' || nested || chr(10) || chr(10) || '> ' || r_name || chr(10) || '>' || chr(10) || '> of ' || n || chr(10) || chr(10) || '```' || chr(10) || 'key  ' || r_regionkey || chr(10) || '```' || chr(10) || chr(10) || '#### End' || chr(10) AS markdown
+FROM region JOIN n ON k = r_regionkey
+""")
+def html_blocks(spark, sf_dir):
+    """A page for each region: headings, lists, nested lists, tables, terms, a quote, preformatted text, a toggle."""
+    row = lambda c, f: F.array_join(F.transform(c, f), "")
+    a = _table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("x")).join(_table(spark, sf_dir, "region"), "r_regionkey")
+    key = lambda x: x["n_nationkey"].cast("string")
+    wrap = lambda tag, *c: F.concat(F.lit(f"<{tag}>"), *c, F.lit(f"</{tag}>"))
+    body = F.concat(
+        wrap("h1", F.col("r_name")), F.lit("<nav>menu</nav><h2>Nations</h2>"), wrap("ul", row("x", lambda x: wrap("li", x["n_name"]))), F.lit("<details><summary>By number</summary>"),
+        wrap("table", F.lit("<tr><th>Key</th><th>Nation</th></tr>"), row("x", lambda x: wrap("tr", wrap("td", key(x)), wrap("td", x["n_name"])))), F.lit("</details>"), wrap("dl", row("x", lambda x: F.concat(wrap("dt", key(x)), wrap("dd", x["n_name"])))),
+        wrap("ul", wrap("li", F.lit("all"), wrap("ol", row("x", lambda x: wrap("li", x["n_name"]))))), wrap("blockquote", wrap("p", F.col("r_name")), wrap("p", F.lit("of "), F.size("x").cast("string"))),
+        wrap("pre", F.lit("key  "), F.col("r_regionkey").cast("string")), F.lit('<script>x</script><div class="h4">End</div>'),
+    )
+    return html.extract_pages(a.select("r_regionkey", F.lit("https://example.org/").alias("url"), wrap("main", body).alias("html")), ["r_regionkey"]).select("r_regionkey", "title", "markdown")
+
+
+@_query("""
+WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings ORDER BY vec_id LIMIT 1),
+c AS (SELECT vec_id, d.doc_id, source AS title, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 10) AS head, list_cosine_distance(embedding::DOUBLE[], q) AS distance FROM embeddings JOIN documents d ON d.doc_id = vec_id, q WHERE lang IN ('en', 'de'))
+SELECT doc_id, title, head, round(distance, 6) + 0.0 AS distance FROM c ORDER BY c.distance, doc_id LIMIT 7
+""")
+def search_documents(spark, sf_dir):
+    """The nearest chunks of the documents that hold for one campus, with their documents; vectors stand for chunks."""
+    d = _table(spark, sf_dir, "documents")
+    campus = F.when(F.col("lang") == "en", "Hammond").when(F.col("lang") == "de", "Both").otherwise("Westville")
+    docs = d.select("doc_id", F.col("source").alias("title"), F.lit("https://example.org/").alias("source_url"), campus.alias("campus"), F.lit("Both").alias("academic_level"), F.lit("evergreen").alias("term"))
+    items = _table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id").select("doc_id", F.lit(0).alias("chunk_index"), "embedding").join(d.select("doc_id", F.col("text").alias("chunk_text")), "doc_id")
+    first = items.orderBy("doc_id").select("embedding").head()
+    return search.search(docs, items, list(first["embedding"]) if first else [], 7, campus="Hammond", current_term="Fall 2026").select("doc_id", "title", F.substring("snippet", 1, 10).alias("head"), (F.round("distance", 6) + 0.0).alias("distance"))
+
+
+@_query("""
+WITH o AS (SELECT doc_id::VARCHAR AS doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) - 1 AS k FROM documents WHERE lang <> 'de' AND NOT (lang = 'en' AND doc_id % 3 = 0)),
+n AS (SELECT doc_id::VARCHAR AS doc_id, unnest(string_split(CASE WHEN lang = 'fr' THEN text || '!' ELSE text END, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) - 1 AS k FROM documents WHERE lang <> 'es')
+SELECT doc_id, k::INT AS chunk_index, md5(line) AS line_md5, true AS embedded FROM n WHERE doc_id IN (SELECT doc_id::VARCHAR FROM documents WHERE lang IN ('fr', 'de') OR (lang = 'en' AND doc_id % 3 = 0))
+UNION ALL SELECT doc_id, k::INT, md5(line), false FROM o WHERE doc_id NOT IN (SELECT doc_id::VARCHAR FROM documents WHERE lang IN ('fr', 'de') OR (lang = 'en' AND doc_id % 3 = 0))
+""")
+def chunk_replacement(spark, sf_dir):
+    """The chunk table after a run that embeds what is new, changed, or stored with another number of chunks: lines stand
+    for chunks, and those of every third English document had been lost."""
+    old, new = _two_versions(spark, sf_dir)
+    status = store.upsert_documents(old, new, overwritten=["title", "content_hash"])
+    a = _table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("string"))
+    lines = lambda d, text, made: d.select("doc_id", F.posexplode(F.split(text, "\n")).alias("chunk_index", "line"), F.lit(made).alias("embedded"))
+    stored = lines(a.filter("lang <> 'de' and not (lang = 'en' and doc_id % 3 = 0)"), F.col("text"), False)
+    made = lines(a.filter("lang <> 'es'"), F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text")), True)
+    return store.replace_chunks(stored, store.to_embed(status, made, stored)).select("doc_id", "chunk_index", F.md5(F.col("line").cast("binary")).alias("line_md5"), "embedded")
 
 
 @_query("""
-SELECT * FROM (VALUES (0, 'https://a.example.org/', 0, NULL), (1, 'https://a.example.org/x/', 1, 'https://a.example.org/'), (2, 'https://a.example.org/x/form.pdf', 2, 'https://a.example.org/x/')) v(place, url, depth, parent_url)
+WITH o AS (SELECT c_nationkey || '-' || c_mktsegment AS name, max(c_name) AS contact_method FROM customer WHERE c_nationkey < 15 GROUP BY 1),
+n AS (SELECT c_nationkey || '-' || c_mktsegment AS name, arg_max(c_name, c_custkey) AS contact_method FROM customer WHERE c_nationkey >= 10 GROUP BY 1)
+SELECT coalesce(n.name, o.name) AS name, coalesce(n.contact_method, o.contact_method) AS contact_method FROM o FULL JOIN n ON o.name = n.name
+""")
+def contact_upsert(spark, sf_dir):
+    """Contacts after a seed list with repeated names: the last row of each name holds."""
+    a = _table(spark, sf_dir, "customer").select(F.concat_ws("-", "c_nationkey", "c_mktsegment").alias("name"), F.col("c_name").alias("contact_method"), F.col("c_custkey").alias("place"), "c_nationkey")
+    old = a.filter("c_nationkey < 15").groupBy("name").agg(F.max("contact_method").alias("contact_method"))
+    return store.upsert_rows(old, a.filter("c_nationkey >= 10").drop("c_nationkey"), "name")
+
+
+@_query(f"""
+SELECT d.doc_id, {_DIM} AS dims, coalesce(n, 0)::INT AS filled, coalesce(spot, -1)::INT AS fullest FROM documents d LEFT JOIN (
+  SELECT doc_id, count(*) AS n, min(bucket) FILTER (n = top) AS spot FROM (SELECT *, max(n) OVER (PARTITION BY doc_id) AS top FROM ({_SPARSE})) GROUP BY doc_id) s ON s.doc_id = d.doc_id
+""")
+def dense_vectors(spark, sf_dir):
+    """Every document's dense vector of length one: its dimension, its buckets that are not empty, and the fullest."""
+    v = embed.hash_vectors(_table(spark, sf_dir, "documents"), "doc_id")
+    top = F.array_max("embedding")
+    return v.select("doc_id", F.size("embedding").alias("dims"), F.size(F.filter("embedding", lambda x: x > 0)).alias("filled"), F.when(top > 0, F.array_position("embedding", top) - 1).otherwise(-1).cast("int").alias("fullest"))
+
+
+@_query("""
+WITH RECURSIVE e AS (SELECT page_id AS doc_id, CASE WHEN page_id % 150 <> 0 THEN page_id - 1 END AS parent FROM pages),
+t AS (SELECT doc_id, doc_id AS top FROM e WHERE parent IS NULL UNION ALL SELECT e.doc_id, t.top FROM e JOIN t ON e.parent = t.doc_id)
+SELECT doc_id, top FROM t
+""")
+def family_tops(spark, sf_dir):
+    """Every page's family by its top, in chains of 150 pages."""
+    return crawl.family(_table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.when(F.col("page_id") % 150 != 0, F.col("page_id") - 1).alias("parent")))
+
+
+@_query("""
+SELECT conv_id AS conversation_id, turn FROM conversations
+WHERE trim(coalesce(CASE WHEN turn % 5 = 4 THEN ' ' ELSE text END, '')) = '' OR turn % 3 = 2 OR (role = 'assistant' AND turn % 4 = 3)
+""")
+def invalid_messages(spark, sf_dir):
+    """Messages with blank text, an unknown campus or an unknown level."""
+    turn = F.col("turn")
+    a = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conversation_id"), "turn", F.when(turn % 5 == 4, " ").otherwise(F.col("text")).alias("text"), F.when(turn % 3 == 2, "Nowhere").otherwise("Hammond").alias("stated_campus"), F.when((F.col("role") == "assistant") & (turn % 4 == 3), "Doctor").alias("stated_academic_level"))
+    return dialog.invalid_messages(a).select("conversation_id", "turn")
+
+
+_SITE = "https://a.example.org/p/"
+
+
+@_query(f"""
+WITH p AS (SELECT page_id, {_PLAIN.format("regexp_extract(html, '<article><h1>((?s).*?)</h1>', 1)")} AS title FROM pages),
+f AS (SELECT page_id AS place, page_id AS id, floor(log2(page_id + 1))::INT AS depth, CASE WHEN page_id > 0 THEN (page_id - 1) // 2 END AS up FROM pages WHERE page_id < 12
+      UNION ALL SELECT 12 + k, id, d, up FROM (VALUES (0, 12, 0, NULL), (1, 25, 1, 12), (2, 26, 1, 12)) v(k, id, d, up))
+SELECT place::INT AS place, '{_SITE}' || id AS url, depth, '{_SITE}' || up AS parent_url, title FROM f JOIN p ON p.page_id = f.id
 """)
 def crawl_bfs(spark, sf_dir):
-    """A small site, two levels deep; a path that is not followed, one that robots.txt forbids, another site."""
-    page = lambda *links: f"<body><main><h1>P</h1>{''.join(f'<a href={h!r}>l</a>' for h in links)}</main></body>".encode()
-    site = [("", "text/html", page("/x/", "/y/", "/x/private", "https://b.example.net/")), ("x/", "text/html", page("/x/form.pdf", "/")), ("y/", "text/html", page()), ("x/private", "text/html", page()), ("robots.txt", "text/plain", b"User-agent: *\nDisallow: /x/private\n"), ("x/form.pdf", "application/pdf", b"%PDF")]
-    rows = [(f"https://a.example.org/{p}", f"https://a.example.org/{p}", 200, kind, content, {}) for p, kind, content in site]
-    fetched = spark.createDataFrame(rows, "url string, final_url string, status int, content_type string, content binary, headers map<string,string>")
-    pdfs = spark.createDataFrame([("https://a.example.org/x/form.pdf", "Form", "Form\n", [], [])], "url string, title string, markdown string, child_links array<string>, pdf_links array<string>")
-    seed = {"name": "a", "url": "https://a.example.org/", "max_depth": 2, "follow": ["/x/"], "max_pages": 10}
-    return crawl.crawl(spark, [seed], crawl.pages_of(fetched, pdfs)).select(F.col("place").cast("int").alias("place"), "url", "depth", "parent_url")
+    """Two seeds over a site of all pages, each of which links to two more: the first stops at its cap, the second leaves
+    out what the first has visited; robots.txt forbids a page that no result may hold."""
+    a = _table(spark, sf_dir, "pages")
+    link = lambda k: F.concat(F.lit(f'<a href="{_SITE}'), (2 * F.col("page_id") + k).cast("string"), F.lit('">x</a>'))
+    page = F.replace(F.col("html"), F.lit("</article>"), F.concat(link(1), link(2), F.lit('<a href="/p/0">up</a><a href="/secret">no</a></article>')))
+    at = F.concat(F.lit(_SITE), F.col("page_id").cast("string"))
+    fetched = a.select(at.alias("url"), at.alias("final_url"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), page.cast("binary").alias("content"), F.lit(None).cast("map<string,string>").alias("headers"))
+    rows = [("https://a.example.org/robots.txt", None, 200, "text/plain", b"User-agent: *\nDisallow: /secret\n", None), ("https://a.example.org/secret", None, 200, "text/html", b"<main>secret</main>", None)]
+    fetched = fetched.unionByName(spark.createDataFrame(rows, fetched.schema))
+    rules = crawl.robots_rules(fetched)
+    seeds = [{"name": "a", "url": f"{_SITE}0", "max_depth": 4, "follow": ["/p/", "/secret"], "max_pages": 12}, {"name": "b", "url": f"{_SITE}12", "max_depth": 1, "follow": ["/p/"], "max_pages": 9}]
+    return crawl.crawl(spark, seeds, fetched, lambda reached: crawl.pages_of(reached, None, rules)).select(F.col("place").cast("int").alias("place"), "url", "depth", "parent_url", "title")
 
 
 @_query("""
-SELECT 'd' AS doc, '## Preamble' || chr(10) || chr(10) || 'The rules hold for every-one and all of them.' || chr(10) || chr(10) || '1. One.' || chr(10) || chr(10) || '| A | B |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | x |' || chr(10) AS markdown
+SELECT r_regionkey::VARCHAR AS doc, '## Region ' || r_regionkey || chr(10) || chr(10) || 'The nations of this region are named below in the order of their keys.' || chr(10) || chr(10)
+  || string_agg('1. Nation ' || n_nationkey, chr(10) || chr(10) ORDER BY n_nationkey) || chr(10) || chr(10) || '| Key | Nation |' || chr(10) || '| --- | --- |' || chr(10)
+  || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) || chr(10) AS markdown
+FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey
 """)
 def pdf_layout_blocks(spark, sf_dir):
-    """A page with a heading, a wrapped paragraph, a list item, and a table whose lines are not text."""
-    lines = [("Preamble", True, 72.0), ("The rules hold for every-one and", False, 86.0), ("all of them.", False, 100.0), ("1. One.", False, 114.0), ("A B", False, 140.0), ("1 x", False, 158.0)]
-    rows = [("d", 1, i, top, top + 11, text, 11.0, bold, len(text)) for i, (text, bold, top) in enumerate(lines)]
-    return pdf_layout.pdf_markdown(
-        spark.createDataFrame(rows, "doc string, page int, line int, top double, bottom double, text string, size double, all_bold boolean, n_chars int"),
-        spark.createDataFrame([("d", 1, 136.0, 176.0, [["A", "B"], ["1", "x"], ["", ""]])], "doc string, page int, top double, bottom double, rows array<array<string>>"),
-    )
+    """A page for each region: a heading, a wrapped paragraph, list items, and a table whose lines are not text."""
+    a = _table(spark, sf_dir, "nation").withColumn("nth", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))).select(F.col("n_regionkey").cast("string").alias("doc"), "nth", "n_nationkey", "n_name")
+    r = _table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("doc"))
+    fixed = F.array(*(F.struct(F.lit(i).alias("line"), (F.concat(F.lit(t), "doc") if i == 0 else F.lit(t)).alias("text"), F.lit(b).alias("all_bold"), F.lit(72.0 + 14 * i).alias("top")) for i, (t, b) in enumerate([("Region ", True), ("The nations of this region are named be-", False), ("low in the order of their keys.", False)])))
+    lines = r.select("doc", F.explode(fixed).alias("l")).select("doc", "l.*")
+    item = lambda n, text, top: a.select("doc", (F.lit(n) + F.col("nth")).cast("int").alias("line"), text.alias("text"), F.lit(False).alias("all_bold"), (F.lit(top) + 14 * F.col("nth")).cast("double").alias("top"))
+    lines = lines.unionByName(item(100, F.concat(F.lit("1. Nation "), F.col("n_nationkey").cast("string")), 100.0)).unionByName(item(1000, F.col("n_name"), 2000.0))
+    lines = lines.select("doc", F.lit(1).alias("page"), "line", "top", (F.col("top") + 11).alias("bottom"), "text", F.lit(11.0).alias("size"), "all_bold", F.length("text").alias("n_chars"))
+    cells = F.concat(F.array(F.array(F.lit("Key"), F.lit("Nation"))), F.transform("x", lambda x: F.array(x["n_nationkey"].cast("string"), x["n_name"])))
+    tables = a.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("x")).select("doc", F.lit(1).alias("page"), F.lit(2000.0).alias("top"), F.lit(9000.0).alias("bottom"), cells.alias("rows"))
+    return pdf_layout.pdf_markdown(lines, tables)
