@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import json
 import sys
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import _WS, odd, pieces, portable, unit_words
-from .common import runs, shared_dir, table, written
+from .common import passing, runs, shared_path, table, written
 
 #: The longest code, unless there are so many symbols that it would be a bad one; 2^MAX_BITS entries make the decoding table.
 MAX_BITS = 16
@@ -388,6 +387,7 @@ def read_files(spark: SparkSession, where: str) -> DataFrame:
 def op3_token_files(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
-    where = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    where = shared_path(spark, "token-files")
     write_files(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), 2, where)
+    passing(spark, where)
     return read_files(spark, where)
