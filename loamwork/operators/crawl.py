@@ -126,8 +126,10 @@ def crawl(spark: SparkSession, seeds: list[dict], pages: DataFrame, extract: Cal
             moved = level.filter("final is not null and final <> url").select(F.col("final").alias("to"), F.col("n").alias("by"))
             level = level.join(moved, (F.col("url") == F.col("to")) & (F.col("n") > F.col("by")), "left_anti")
             good = F.col("markdown").isNotNull()
-            running = F.sum(good.cast("int")).over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
-            taken = written(level.withColumn("before", F.coalesce(running, F.lit(0))).filter(F.col("before") < left), "crawl_taken")
+            # only numbers go through one task, no texts
+            running = F.sum(F.col("good").cast("int")).over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+            counted = level.select("n", good.alias("good")).withColumn("before", F.coalesce(running, F.lit(0))).filter(F.col("before") < left).select("n", "before")
+            taken = written(level.join(counted, "n"), "crawl_taken")
             visited = written(visited.union(taken.select("url")).union(taken.filter(good).select("final")).distinct(), "crawl_visited")
             found = taken.filter(good).select(
                 F.lit(seed["name"]).alias("seed"), (F.lit(count) + F.col("before")).cast("long").alias("place"), F.col("final").alias("url"), F.lit(depth).alias("depth"),

@@ -33,6 +33,13 @@ def current(events: DataFrame) -> DataFrame:
     )
 
 
+def append_messages(messages: DataFrame, new: DataFrame) -> DataFrame:
+    """The log with `new` messages at its end: those whose message_id is null, or in the log already, or given before in
+    `new`, are left out, so that a run that is repeated appends nothing."""
+    once = new.filter("message_id is not null").groupBy("message_id").agg(F.min_by(F.struct(*new.columns), F.struct("created_at", F.xxhash64(*new.columns))).alias("m")).select("m.*")
+    return messages.unionByName(once.select(messages.columns).join(messages.select("message_id"), "message_id", "left_anti").select(messages.columns))
+
+
 def ordered(messages: DataFrame, by: tuple[str, ...] = ("created_at", "message_id")) -> DataFrame:
     """Messages numbered within their conversation."""
     return messages.withColumn("nth", F.row_number().over(Window.partitionBy("conversation_id").orderBy(*by)))
