@@ -4,7 +4,7 @@ Words are summed per source, targets are shared out by weight under a repetition
 floor(rate) times plus one hash-seeded Bernoulli copy whose probability is the rate's fraction.
 
 Defined results: a null text has no words; a null source is a source of its own that comes last; a null doc_id draws
-by its text; repeated rows with one doc_id draw alike; an empty table gives an empty result; an input column with the
+by its text; repeated rows with one doc_id draw alike; a text of any length is counted whole; an empty table gives an empty result; an input column with the
 name of a result column is replaced, all others stay.
 """
 

@@ -8,7 +8,8 @@ less than the whole space, so some v is orthogonal to all of them: every linked
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; nulls in doc_id are
 ignored when the least doc_id is sought, so a component of nulls alone has component_id null; repeated rows have one
-fingerprint and one component; an empty table gives an empty result; extra columns are not read.
+fingerprint and one component; a text of any length is read whole; an empty table gives an empty result; extra columns
+are not read, whatever they are called.
 """
 
 from __future__ import annotations

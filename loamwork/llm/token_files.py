@@ -7,8 +7,8 @@ checkpoint for each STEP symbols, the bit offset at which decoding can begin. Bl
 codebook, so any block can be read by itself, and within a block all checkpoints are decoded side by side.
 
 Defined results: a null or empty text is the end id alone; null doc_ids come last; rows with equal doc_ids are ordered
-by their ids, and rows equal in both by nothing, since they are alike; an empty table makes an empty file; extra
-columns are not read.
+by their ids, and rows equal in both by nothing, since they are alike; a text of any length is one document of one block;
+an empty table makes an empty file; extra columns are not read, whatever they are called.
 """
 
 from __future__ import annotations
