@@ -5,6 +5,7 @@ import public_tokenizers as public
 import pytest
 
 import corpus_pipeline as pipeline
+from loamwork.durable import written
 from loamwork.llm import bpe, mixing
 
 from .test_near_copies import brute_kept
@@ -42,14 +43,14 @@ def test_columns_odd_rows_and_empty(spark, docs, at):
 def test_columns_that_clash(spark, docs):
     """Columns called like what the stages use within come through them all."""
     d = docs(*((i, f"word {i} of some text that is long enough to stay here, and the end of it is {i}. " * 3, "en", "s") for i in range(12)))
-    for names in (["set_id", "row_", "key_"], ["sd_hash", "sd_spans", "s_id"], ["q_row", "q_text", "kept"], ["size", "rate", "copy"], ["n_tokens2", "row_hash", "nth"], ["token", "group", "bits"]):
-        wide = d.selectExpr("*", *(f"doc_id * 2 AS {n}" for n in names))
-        out = wide
-        for _, stage in pipeline.STAGES[:-1]:
-            out = stage(spark, out, "")
-            assert out.columns == wide.columns
-        assert all(r[n] == 2 * r.doc_id for r in out.collect() for n in names)
-        assert pipeline.STAGES[-1][1](spark, out, "").count() == out.count()
+    names = "set_id row_ key_ sd_hash sd_spans s_id q_row q_text kept size rate copy row_hash nth token group bits at fp".split()
+    wide = d.selectExpr("*", *(f"doc_id * 2 AS {n}" for n in names))
+    out = wide
+    for name, stage in pipeline.STAGES[:-1]:
+        out = written(stage(spark, out, ""), name.replace(" ", "-"))
+        assert out.columns == wide.columns
+    assert all(r[n] == 2 * r.doc_id for r in out.collect() for n in names)
+    assert pipeline.STAGES[-1][1](spark, out, "").count() == out.count()
 
 
 def test_entry_without_the_subpackage():
