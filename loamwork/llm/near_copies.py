@@ -8,8 +8,8 @@ differ in fewer shingles than their bits do, Sandes et al., "Bitmap filter") lea
 and the rest are compared in full. The order uses counts of shingles by BUCKETS hash buckets: it bears on speed only.
 
 A group of candidates is first compared with its least member; after that, only pairs that are not yet in one component
-are, so a group of near copies takes about as many comparisons as it has members. Texts are not shuffled for comparisons,
-and a set that is compared with many others is compared in several tasks.
+are, so a group of near copies takes about as many comparisons as it has members. Texts are not shuffled for comparisons;
+a set is shuffled once for each set that it is compared with, and one that is compared with many is so in several tasks.
 
 Defined results: words are lower-case A-Z, split by ASCII white space; a text of fewer than five words is one shingle; a
 null or wordless text is one like any other. Sets and shingles are told apart by 64-bit hashes.
@@ -31,7 +31,7 @@ from .common import components, fresh, written
 SHINGLE, SEED = 5, 42
 #: The likeness as a fraction: PART of WHOLE.
 PART, WHOLE = 4, 5
-#: Counters of shingles, parity bits of a set, and comparisons of one set that a task makes.
+#: Counters of shingles, parity bits of a set (long sets have more), and comparisons of one set that a task makes.
 BUCKETS, PARITY, TOGETHER = 1 << 18, 1024, 1000
 #: Bits of the filter that tells which rows are compared; with more rows it lets others through, which a join takes out.
 FILTER = 1 << 21
@@ -59,6 +59,35 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Rec
             yield part, [shingles(x or b"", size) for x in part.column(0).cast(pa.binary()).to_pylist()]
 
 
+def _parities(s: np.ndarray) -> bytes:
+    """The parity bits of a set: a power of two of them, no fewer than it has shingles, so that those of long sets tell."""
+    size = max(PARITY, 1 << (len(s) - 1).bit_length())
+    return np.packbits((np.bincount(s & (size - 1), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+class _Parities:
+    """The parity bits of a group's sets, compared at the shorter's length. Sets of which one may be linked with the other
+    have as many bits, or twice as many; halves laid on each other are the parities of half the length."""
+
+    def __init__(self, bits: list[bytes]):
+        self.size, self.by = np.array([len(b) for b in bits]), {}
+        for size in np.unique(self.size).tolist():
+            has = np.flatnonzero((self.size == size) | (self.size == 2 * size))
+            place = np.full(len(bits), -1)
+            place[has] = np.arange(len(has))
+            read = (np.frombuffer(bits[j], dtype=np.uint64) for j in has)
+            self.by[size] = place, np.stack([x if 8 * len(x) == size else x[: len(x) // 2] ^ x[len(x) // 2 :] for x in read])
+
+    def apart(self, i: int, at: np.ndarray) -> np.ndarray:
+        """In how many bits set i differs from each set of `at`."""
+        out, least = np.zeros(len(at), dtype=np.int64), np.minimum(self.size[at], self.size[i])
+        for size in np.unique(least).tolist():
+            place, rows = self.by[size]
+            some = least == size
+            out[some] = np.bitwise_count(rows[place[at[some]]] ^ rows[place[i]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def _columns(docs: DataFrame, keep: list[str]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
 
@@ -68,7 +97,7 @@ def slim(docs: DataFrame, keep: list[str], size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, size):
-            bits = [np.packbits((np.bincount(s & (PARITY - 1), minlength=PARITY) & 1).astype(np.uint8)).tobytes() for s in sets]
+            bits = [_parities(s) for s in sets]
             more = [pa.array([_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits, pa.binary())]
             yield pa.RecordBatch.from_arrays([*part.columns[1:], *more], names=[*part.schema.names[1:], "set_id", "n", "bits"])
 
@@ -112,14 +141,12 @@ def _pairs(first: bool):
         out = []
         for g, n, p, root in zip(ids, ns, bits, roots, strict=True):
             g, n, root = (np.asarray(x, dtype=np.int64) for x in (g, n, root))
-            p = np.frombuffer(b"".join(p), dtype=np.uint64).reshape(len(g), -1)
             order = np.argsort(g)
-            g, n, p, root = g[order], n[order], p[order], root[order]
+            g, n, p, root = g[order], n[order], _Parities([p[i] for i in order]), root[order]
             found = []
             for i in range(1) if first else range(1, len(g) - 1):
                 at = i + 1 + np.flatnonzero((WHOLE * np.minimum(n[i + 1 :], n[i]) >= PART * np.maximum(n[i + 1 :], n[i])) & (root[i + 1 :] != root[i]))
-                apart = np.bitwise_count(p[at] ^ p[i]).sum(axis=1, dtype=np.int64)
-                at = at[(PART + WHOLE) * apart <= (WHOLE - PART) * (n[at] + n[i])]
+                at = at[(PART + WHOLE) * p.apart(i, at) <= (WHOLE - PART) * (n[at] + n[i])]
                 found.extend({"a": int(g[i]), "b": int(x)} for x in g[at])
             out.append(found)
         return pd.Series(out)
@@ -135,8 +162,8 @@ def _candidates(groups: DataFrame, sets: DataFrame, roots: DataFrame, first: boo
 
 
 def _compared(docs: DataFrame, wanted: DataFrame, row: str, size: int) -> DataFrame:
-    """(set_id, s): the shingles of the sets of `wanted(set_id, row)`. Texts stay where they are read: a filter of bounded
-    size says which of them may be wanted."""
+    """`wanted(row, ...)` with s, the shingles of each row's text. Texts stay where they are read: a filter of bounded size
+    says which of them may be wanted."""
     at = wanted.select(F.col(row).bitwiseAND(F.lit(FILTER - 1)).alias("at")).distinct().toArrow()["at"].to_numpy()
     bits = np.zeros(FILTER, dtype=bool)
     bits[at] = True
@@ -146,23 +173,38 @@ def _compared(docs: DataFrame, wanted: DataFrame, row: str, size: int) -> DataFr
         may = np.unpackbits(np.frombuffer(packed, dtype=np.uint8)).astype(bool)
         some = (b.filter(pa.array(may[b.column(1).to_numpy() & (FILTER - 1)])) for b in batches)
         for part, sets in _sets(some, size):
-            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(sets, pa.list_(pa.int64()))], names=[row, "s"])
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], names=[row, "s"])
+
+    return docs.select("text", row).mapInArrow(run, f"`{row}` long, s binary").join(wanted, row)
+
 
-    return docs.select("text", row).mapInArrow(run, f"`{row}` long, s array<long>").join(wanted, row).select("set_id", "s").dropDuplicates(["set_id"])
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links among rows (home, deal, set_id, own, s), of which each home's and deal's own set comes first."""
+    at, mine = None, None
+    for batch in batches:
+        found = []
+        for home, deal, set_id, own, s in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
+            z = np.frombuffer(s.as_buffer(), dtype=np.int64)
+            if own:
+                at, mine = (home, deal), z.copy()
+            elif at == (home, deal):
+                shared = len(np.intersect1d(mine, z, assume_unique=True))
+                if (PART + WHOLE) * shared >= PART * (len(mine) + len(z)):
+                    found.append((home, set_id))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, rows: DataFrame, row: str, size: int) -> DataFrame:
-    """The pairs whose sets are alike enough, compared in full. `rows(set_id, row)`: a row that has each set."""
+    """The pairs whose sets are alike enough, compared in full. `rows(set_id, row)`: a row that has each set. A set is
+    shuffled to each set that it is compared with, which for its part goes to as many tasks as its comparisons take."""
     pairs = written(pairs, "near_pairs")
-    wanted = rows.join(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "set_id")
-    sets = written(_compared(docs, wanted, row, size), "near_sets")
-    # a set's comparisons are dealt out to as many tasks as it takes
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("long").alias("deals"))
-    one = sets.select(F.col("set_id").alias("a"), "s").join(many, "a").select("a", "s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"))
-    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "deals").alias("deal"))
-    both = dealt.join(one, ["a", "deal"]).join(sets.select(F.col("set_id").alias("b"), F.col("s").alias("z")), "b")
-    alike = (PART + WHOLE) * F.size(F.array_intersect("s", "z")) >= PART * (F.size("s") + F.size("z"))
-    return written(both.filter(alike).select("a", "b"), "near_links")
+    others = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), "deals").alias("deal"), "b", F.lit(False).alias("own"))
+    own = many.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), F.col("a").alias("b"), F.lit(True).alias("own"))
+    wanted = others.union(own).toDF("home", "deal", "set_id", "own").join(rows, "set_id")
+    sets = _compared(docs, written(wanted, "near_wanted"), row, size).select("home", "deal", "set_id", "own", "s")
+    dealt = sets.repartition("home", "deal").sortWithinPartitions("home", "deal", F.desc("own"))
+    return written(dealt.mapInArrow(_alike, "a long, b long").distinct(), "near_links")
 
 
 def roots(docs: DataFrame, table: DataFrame, row: str, size: int = SHINGLE) -> DataFrame:

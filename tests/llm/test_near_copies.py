@@ -68,3 +68,33 @@ def test_odd_rows(spark, docs):
     assert kept.columns == ["doc_id", "text", "row_hash", "nth", "n_chars"]
     assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("11", "other words here now"), ("3", "A b c  d"), ("7", None), ("None", "only here it is")]
     assert near_copies.keep_one(rows.limit(0)).count() == 0
+
+
+def test_long_texts_that_share_passages_are_not_compared(spark, docs, monkeypatch):
+    """Texts of 6,000 words, two by two alike in five sixths of them: their parities tell, no whole sets are shuffled. A
+    real copy is found among them."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = []
+    for k in range(0, 8, 2):
+        same = [word() for _ in range(5000)]
+        rows += [(k + i, " ".join([*same, *(word() for _ in range(1000))])) for i in range(2)]
+    rows.append((8, f"{rows[3][1]} and some more words"))
+    counts, inner = [], near_copies.written
+    monkeypatch.setattr(near_copies, "written", lambda df, name: counts.append((name, inner(df, name).count())) or inner(df, name))
+    got = sorted(r.doc_id for r in near_copies.keep_one(docs(*rows)).collect())
+    assert got == brute_kept(rows) == list(range(8))
+    assert sum(n for name, n in counts if name == "near_pairs") == 1
+
+
+def test_parities_never_differ_in_more_bits_than_the_sets():
+    rng = random.Random(4)
+    sets_ = []
+    for n in (1, 900, 1023, 1024, 1025, 1200, 2048, 2500, 3000):
+        sets_.append(near_copies.shingles(" ".join(f"w{rng.randrange(30)}" for _ in range(n + 4)).encode()))
+    bits = near_copies._Parities([near_copies._parities(s) for s in sets_])
+    for i, s in enumerate(sets_):
+        at = [j for j, z in enumerate(sets_) if j != i and 5 * min(len(s), len(z)) >= 4 * max(len(s), len(z))]
+        for j, apart in zip(at, bits.apart(i, near_copies.np.array(at, dtype=int)), strict=True):
+            differ = len(set(s.tolist()) ^ set(sets_[j].tolist()))
+            assert apart <= differ and (apart - differ) % 2 == 0
