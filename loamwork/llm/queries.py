@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_token_files": token_files.op3_token_files,
         "op4_tool_calls": tool_calls.op4_tool_calls,
+        "op4_all_tool_calls": tool_calls.op4_all_tool_calls,
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op6_html_content": html_content.op6_html_content,
         "op7_simhash": simhash.op7_simhash,

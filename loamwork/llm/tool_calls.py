@@ -17,8 +17,8 @@ Numbers are validated and written by value: 1.0 and 1e0 are the integer 1, and 1
 
 Defined results: null identifiers link nothing; null or malformed arguments are `invalid_json`, and so are those longer
 than a variant can be (128 MB); rows that occur twice are numbered like any others; extra columns are not read, whatever
-they are called; an empty table gives an empty result. The registered query returns the first call of each identifier
-only, as its SQL does.
+they are called; an empty table gives an empty result. The registered query op4_tool_calls returns the first call of each
+identifier only, as its SQL does; op4_all_tool_calls returns every row.
 """
 
 from __future__ import annotations
@@ -197,8 +197,14 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def op4_all_tool_calls(spark, sf_dir: str) -> DataFrame:
+    """Every call and every result, with nth: repeated calls, results too many or without a call, and rows without ids too."""
+    return link_tool_calls(*from_turns(table(spark, sf_dir, "conversations")))
+
+
 def op4_tool_calls(spark, sf_dir: str) -> DataFrame:
-    linked = link_tool_calls(*from_turns(table(spark, sf_dir, "conversations")))
+    """The rows that OP4_SQL has: the first call of each identifier."""
+    linked = op4_all_tool_calls(spark, sf_dir)
     return linked.filter("nth = 1 and status not in ('null_id', 'missing_call')").drop("nth")
 
 

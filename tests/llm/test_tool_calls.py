@@ -92,3 +92,22 @@ def test_columns_that_clash_and_very_long_texts(spark):
 def test_hash_joins_and_native(spark):
     plan = tool_calls.op4_tool_calls(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_registered_query_of_every_row(spark, as_table):
+    """Each user turn is a row, each assistant turn's text is in just one, whatever repeats or has no identifier; the rows of
+    the query with an SQL twin are among them."""
+    from loamwork.llm import queries
+
+    from .test_oracles import ODD_TURNS
+
+    extra = [(4, 1, "assistant", "surplus"), (7, 0, "user", "again"), (7, 1, "assistant", "third"), (9, 101, "assistant", "of no call"), (None, 1, "assistant", "of none")]
+    turns = [*ODD_TURNS, *extra]
+    folder = as_table(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), "conversations")
+    got = queries.queries()["op4_all_tool_calls"](spark, folder).collect()
+    assert sum(r.name is not None for r in got) == sum(x[2] == "user" for x in turns)
+    for text in ("a", "b", "x", "surplus", "third", "of no call", "of none"):
+        assert sum(r.json.endswith(f'"result":"{text}"}}') for r in got) == sum(x[2:] == ("assistant", text) for x in turns) == 1
+    assert {"duplicate_id", "extra_result", "missing_call", "null_id", "ok", "missing_result"} <= {r.status for r in got}
+    first = queries.queries()["op4_tool_calls"](spark, folder)
+    assert {tuple(r[c] for c in first.columns) for r in got} >= set(map(tuple, first.collect())) and first.count() < len(got)
