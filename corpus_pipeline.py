@@ -14,7 +14,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, likeness of 0.8 or more) stays: that of the least doc_id."""
+    """One document of each group of near-duplicates (five-word shingles, likeness of 0.8 or more) stays: that of the least
+    doc_id. SimHash finds groups, verified in full; prefix filtering finds the links that fingerprints do not show."""
     return near_copies.keep_one(docs)
 
 

@@ -1,6 +1,10 @@
-"""Near-duplicates by the Jaccard likeness of word shingles, with exact recall, by prefix filtering.
+"""Near-duplicates by SimHash, verified by the Jaccard likeness of word shingles and completed by prefix filtering.
 
-Two texts are linked when the sets of their five-word shingles have a likeness of 4/5 or more. All shingles have one
+Two texts are linked when the sets of their five-word shingles have a likeness of 4/5 or more. SimHash comes first: sets
+have 64-bit fingerprints, covering locality-sensitive hashing (`simhash.links`) finds those that differ in two bits or
+fewer, and the sets that are linked so are compared in full. Sets of a likeness of 4/5 may have fingerprints ten bits
+apart, which no affordable number of tables finds for sure, so what SimHash leaves apart is searched in an exact way, by
+prefix filtering: pairs that are already in one component are not looked at again. All shingles have one
 order, rarer ones first; linked sets share at least 4/5 of the larger one, so each of them has a shared shingle among its
 first floor(n / 5) + 1 ("prefix filtering", Chaudhuri et al.; Vernica et al., "Efficient parallel set-similarity joins
 using MapReduce"). Sets that share such a shingle are candidates; sizes and the parity bits of the sets (no two sets
@@ -26,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import components, fresh, written
 
 SHINGLE, SEED = 5, 42
@@ -93,15 +98,16 @@ def _columns(docs: DataFrame, keep: list[str]) -> str:
 
 
 def slim(docs: DataFrame, keep: list[str], size: int) -> DataFrame:
-    """The columns `keep`, set_id, n (shingles) and bits (their parities) of each text."""
+    """The columns `keep`, set_id, n (shingles), bits (their parities) and fp (SimHash, signed) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, size):
             bits = [_parities(s) for s in sets]
             more = [pa.array([_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], *more], names=[*part.schema.names[1:], "set_id", "n", "bits"])
+            fps = np.array([simhash.of_hashes(s.view(np.uint64)) for s in sets], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], *more, pa.array(fps)], names=[*part.schema.names[1:], "set_id", "n", "bits", "fp"])
 
-    return docs.select("text", *keep).mapInArrow(run, f"{_columns(docs, keep)}, set_id long, n long, bits binary")
+    return docs.select("text", *keep).mapInArrow(run, f"{_columns(docs, keep)}, set_id long, n long, bits binary, fp long")
 
 
 def commonness(docs: DataFrame, size: int) -> np.ndarray:
@@ -207,15 +213,25 @@ def _linked(pairs: DataFrame, docs: DataFrame, rows: DataFrame, row: str, size:
     return written(dealt.mapInArrow(_alike, "a long, b long").distinct(), "near_links")
 
 
+def simhash_pairs(sets: DataFrame, radius: int = simhash.RADIUS) -> DataFrame:
+    """Pairs (a, b) of `sets(set_id, fp)` that connect just those whose fingerprints links of `radius` bits connect: each set
+    with the least one of its fingerprint, and those of linked fingerprints."""
+    least = written(sets.groupBy("fp").agg(F.min("set_id").alias("least")), "near_fingerprints")
+    same = sets.select("set_id", "fp").join(least, "fp").filter("set_id <> least").select(F.col("least").alias("a"), F.col("set_id").alias("b"))
+    linked = simhash.links(least.select("fp"), radius).join(least.toDF("a", "one"), "a").join(least.toDF("b", "other"), "b")
+    return same.union(linked.select(F.least("one", "other"), F.greatest("one", "other"))).distinct()
+
+
 def roots(docs: DataFrame, table: DataFrame, row: str, size: int = SHINGLE) -> DataFrame:
     """(node, root) of every set that is linked with another. `table`: slim() of `docs`, written."""
     first = prefixes(docs, size).repartition("token")  # shuffled once, and not aggregated before: few shingles repeat in a task
     groups = first.groupBy("token").agg(F.sort_array(F.collect_set("set_id")).alias("ids")).filter(F.size("ids") > 1).select("ids").distinct()
     groups = written(groups.withColumn("group", F.monotonically_increasing_id()), "near_groups")
-    sets = written(table.groupBy("set_id").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min(row).alias(row)), "near_slim")
+    sets = written(table.groupBy("set_id").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("fp").alias("fp"), F.min(row).alias(row)), "near_slim")
     rows = sets.select("set_id", row)
-    none = docs.sparkSession.createDataFrame([], "node long, root long")
-    edges = _linked(_candidates(groups, sets, none, True), docs, rows, row, size)
+    edges = _linked(simhash_pairs(sets), docs, rows, row, size)
+    # what fingerprints leave apart
+    edges = edges.union(_linked(_candidates(groups, sets, components(edges), True), docs, rows, row, size))
     found = components(edges)
     members = groups.filter(F.size("ids") > 2).select("group", F.explode("ids").alias("node")).join(found, "node", "left")
     apart = members.groupBy("group").agg(F.min(F.coalesce("root", "node")).alias("low"), F.max(F.coalesce("root", "node")).alias("high")).filter("low <> high").select("group")

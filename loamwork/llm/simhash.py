@@ -31,6 +31,14 @@ BITS, SEED, SHINGLE, RADIUS = 64, 42, 3, 2
 PAIRWISE = 256
 
 
+def of_hashes(h: np.ndarray) -> int:
+    """The fingerprint of unsigned 64-bit hashes: a bit is 1 if it is set in over half of them."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for i in range(0, len(h), 4096):
+        ones += np.unpackbits(h[i : i + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """SimHash of the words' shingles: lower-case A-Z, words by ASCII white space, XXH64 with seed 42."""
     words = text.lower().split()
@@ -40,10 +48,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     if len(words) < shingle:
         return hashed(b" ".join(words), SEED)
     h = np.array([hashed(s, SEED) for s in map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))], dtype=np.uint64)
-    ones = np.zeros(BITS, dtype=np.int64)
-    for i in range(0, len(h), 4096):
-        ones += np.unpackbits(h[i : i + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+    return of_hashes(h)
 
 
 def _fingerprints(shingle: int):

@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline as pipeline
 from loamwork.llm import near_copies
@@ -95,6 +97,35 @@ def test_parities_never_differ_in_more_bits_than_the_sets():
     bits = near_copies._Parities([near_copies._parities(s) for s in sets_])
     for i, s in enumerate(sets_):
         at = [j for j, z in enumerate(sets_) if j != i and 5 * min(len(s), len(z)) >= 4 * max(len(s), len(z))]
-        for j, apart in zip(at, bits.apart(i, near_copies.np.array(at, dtype=int)), strict=True):
+        for j, apart in zip(at, bits.apart(i, np.array(at, dtype=int)), strict=True):
             differ = len(set(s.tolist()) ^ set(sets_[j].tolist()))
             assert apart <= differ and (apart - differ) % 2 == 0
+
+
+def test_simhash_pairs_against_brute_force(spark, docs):
+    """Fingerprints of five-word shingles, and groups of those within two bits, as a plain computation has them."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(20):
+        words = [f"w{rng.randrange(300)}" for _ in range(rng.choice((3, 40, 800)))]
+        rows += [(4 * k + i, " ".join([*words[: len(words) - i], *["end"] * i])) for i in range(4)]
+    want = {}
+    for i, s in zip((r[0] for r in rows), sets([t for _, t in rows]), strict=True):
+        h = [xxhash.xxh64_intdigest(" ".join(x).encode(), 42) for x in s]
+        want[i] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    table = near_copies.slim(docs(*rows), ["doc_id"], 5).collect()
+    assert {r.doc_id: r.fp & (1 << 64) - 1 for r in table} == want
+    group = {r.set_id: r.set_id for r in table}
+    fp = {r.set_id: want[r.doc_id] for r in table}
+
+    def merged(pairs):
+        g = dict(group)
+        for a, b in pairs:
+            x, y = g[a], g[b]
+            g = {k: min(x, y) if v in (x, y) else v for k, v in g.items()}
+        return g
+
+    frame = spark.createDataFrame([(k, v - (1 << 64) if v >> 63 else v) for k, v in fp.items()], "set_id long, fp long")
+    got = [(r.a, r.b) for r in near_copies.simhash_pairs(frame).collect()]
+    near = [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 2]
+    assert near and merged(got) == merged(near)
