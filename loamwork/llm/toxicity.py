@@ -40,8 +40,8 @@ FOLDS, SEVERE_MARKS, THRESHOLD = 4, 6, 0.5
 TELLING, SUPPORT = 5.0, 3
 _SHARES = [r"[#*$%&|<>@^~{}\[\]\\/_=+]", "[A-ZÀ-ÖØ-Þ]", "[0-9]"]
 _EDGE = "\t\n.,;:!?'\"()[]{}<>*#$%&|-_/\\+=~^@`…“”‘’«»"
-#: Bytes of text scored at once.
-BLOCK = 8_000_000
+#: Bytes of text scored at once, and of text whose features the driver computes at once.
+BLOCK, TRAINED = 8_000_000, 500_000
 DENSE = len(_SHARES)
 MASK = (1 << 22) - 1
 
@@ -64,30 +64,43 @@ class _Rows:
     """Documents' features: for each presence, its document and its feature, documents in order, features ascending. With
     `wanted`, only those features."""
 
-    def __init__(self, texts: pa.Array, wanted: np.ndarray | None = None):
+    def __init__(self, texts: pa.Array, wanted: np.ndarray | None = None, block: int | None = None):
         self.n = len(texts)
-        cut = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+        #: For each run of texts of `block` bytes (all of them at once, if None): each occurrence of a word that has
+        #: features, its document and the word, and the words' numbers of features and the features.
+        self.parts = []
+        rows, features, extra = [], [], []
+        for start, n in runs(texts, block) if block else [(0, self.n)]:
+            some = texts.slice(start, n)
+            row, feature = self._read(pc.utf8_split_whitespace(pc.utf8_lower(some)), start, wanted)
+            rows.append(row)
+            features.append(feature)
+            length = np.maximum(pc.utf8_length(some).to_numpy(), 1)
+            extra.append(np.stack([pc.count_substring_regex(some, p).to_numpy() / length for p in _SHARES], axis=1).reshape(n, DENSE))
+        self.row = np.concatenate([np.empty(0, dtype=np.int32), *rows])
+        self.feature = np.concatenate([np.empty(0, dtype=np.int32), *features])
+        self.extra = np.concatenate([np.empty((0, DENSE)), *extra])
+
+    def _read(self, cut: pa.Array, start: int, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The presences of a run of texts, of which the first is document `start`."""
         coded = cut.flatten().dictionary_encode()
         found = [word_features(w) if w else [] for w in pc.utf8_trim(coded.dictionary, characters=_EDGE).to_pylist()]
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         of = np.fromiter((f for fs in found for f in fs), dtype=np.int64, count=int(sizes.sum()))
-        word = np.repeat(np.arange(len(found)), sizes)
         if wanted is not None:
+            word = np.repeat(np.arange(len(found)), sizes)
             word, of = word[wanted[of]], of[wanted[of]]
             sizes = np.bincount(word, minlength=len(found))
-        #: Each occurrence of a word that has features: its document and the word, and each word's features.
-        self.at = np.repeat(np.arange(self.n), np.diff(cut.offsets.to_numpy()))
-        self.word = coded.indices.to_numpy()
-        some = sizes[self.word] > 0
-        self.at, self.word, self.sizes, self.of, self.starts = self.at[some], self.word[some], sizes, of, np.cumsum(sizes) - sizes
-        once = np.unique(self.at * max(1, len(found)) + self.word)
+        at, word = np.repeat(np.arange(len(cut)), np.diff(cut.offsets.to_numpy())), coded.indices.to_numpy()
+        some = sizes[word] > 0
+        at, word, starts = at[some], word[some], np.cumsum(sizes) - sizes
+        self.parts.append(((at + start).astype(np.int32), word.astype(np.int32), sizes, of))
+        once = np.unique(at * max(1, len(found)) + word)
         at, word = once // max(1, len(found)), once % max(1, len(found))
         k = sizes[word]
-        place = np.repeat(self.starts[word] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+        place = np.repeat(starts[word] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
         keys = np.unique(np.repeat(at, k) * (MASK + 1) + of[place])
-        self.row, self.feature = keys // (MASK + 1), (keys % (MASK + 1)).astype(np.int32)
-        length = np.maximum(pc.utf8_length(texts).to_numpy(), 1)
-        self.extra = np.stack([pc.count_substring_regex(texts, p).to_numpy() / length for p in _SHARES], axis=1).reshape(self.n, DENSE)
+        return (keys // (MASK + 1) + start).astype(np.int32), (keys % (MASK + 1)).astype(np.int32)
 
     def chosen(self, features: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         to = np.full(MASK + 1, -1, dtype=np.int32)
@@ -97,8 +110,11 @@ class _Rows:
 
     def occurrences(self, telling: np.ndarray) -> np.ndarray:
         """How many words of each document have a feature that is `telling` (by feature)."""
-        has = np.bincount(np.repeat(np.arange(len(self.sizes)), self.sizes), weights=telling[self.of], minlength=len(self.sizes)) > 0
-        return np.bincount(self.at, weights=has[self.word], minlength=self.n)
+        out = np.zeros(self.n)
+        for at, word, sizes, of in self.parts:
+            has = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=telling[of], minlength=len(sizes)) > 0
+            out += np.bincount(at, weights=has[word], minlength=self.n)
+        return out
 
 
 def _choose(rows: _Rows, y: np.ndarray, train: np.ndarray, limit: int = 600) -> dict[int, int]:
@@ -107,12 +123,13 @@ def _choose(rows: _Rows, y: np.ndarray, train: np.ndarray, limit: int = 600) ->
     one, zero = train & (y == 1), train & (y == 0)
     a = np.bincount(rows.feature[one[rows.row]], minlength=MASK + 1)
     b = np.bincount(rows.feature[zero[rows.row]], minlength=MASK + 1)
+    known = np.flatnonzero(a + b >= SUPPORT)
+    a, b = a[known], b[known]
     n1, n0 = max(int(one.sum()), 1), max(int(zero.sum()), 1)
     p = (a + b) / (n1 + n0)
     z = np.abs(a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-    z[a + b < SUPPORT] = 0
     at = np.flatnonzero(z > TELLING)
-    return {int(f): i for i, f in enumerate(at[np.lexsort((at, -z[at]))][:limit])}
+    return {int(f): i for i, f in enumerate(known[at[np.lexsort((at, -z[at]))][:limit]])}
 
 
 def _fit(at: np.ndarray, col: np.ndarray, extra: np.ndarray, y: np.ndarray, n_features: int, l2: float = 1e-4, steps: int = 600) -> np.ndarray:
@@ -160,7 +177,7 @@ def _column(texts: list[str | None]) -> pa.Array:
 
 def train_chain(texts: list[str], labels: np.ndarray, folds: int = FOLDS) -> list[Linear]:
     """A model for each column of `labels` (0 or 1, documents x categories), in order."""
-    rows = _Rows(_column(texts))
+    rows = _Rows(_column(texts), block=TRAINED)
     extra = rows.extra
     fold = np.arange(len(texts)) % folds
     every = np.ones(len(texts), dtype=bool)
@@ -208,7 +225,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 def severe(texts: list[str], toxic: np.ndarray, marks: int = SEVERE_MARKS) -> np.ndarray:
     """Toxic texts with `marks` or more occurrences of words that have a feature found in toxic texts almost only."""
-    rows = _Rows(_column(texts))
+    rows = _Rows(_column(texts), block=TRAINED)
     pos = np.bincount(rows.feature[(toxic == 1)[rows.row]], minlength=MASK + 1)
     neg = np.bincount(rows.feature[(toxic == 0)[rows.row]], minlength=MASK + 1)
     return ((toxic == 1) & (rows.occurrences((pos >= 5) & (neg * 50 <= pos)) >= marks)).astype(int)

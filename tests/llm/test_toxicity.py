@@ -126,3 +126,21 @@ def test_chain_against_a_plain_one(spark):
     rows_ = toxicity._Rows(pa.array(texts, pa.large_string()))
     second = toxicity._train(rows_, np.c_[rows_.extra, out], labels[:, 1].astype(float), np.ones(len(texts), dtype=bool))
     assert second.features == models[1].features and second.weights == pytest.approx(models[1].weights)
+
+
+def test_training_holds_little_at_once():
+    """Features are computed run by run, with the same results, and counts of 4 million features are few at a time."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join([*(f"word{i}" for i in rng.integers(0, 3000, 400)), *["idiot"] * (k % 2)]) for k in range(300)] + ["", "  "]
+    labels = np.arange(302) % 2
+    whole, runs = toxicity._Rows(pa.array(texts, pa.large_string())), toxicity._Rows(pa.array(texts, pa.large_string()), block=50_000)
+    assert len(runs.parts) > 10 and runs.row.tolist() == whole.row.tolist() and runs.feature.tolist() == whole.feature.tolist() and (runs.extra == whole.extra).all()
+    telling = np.arange(toxicity.MASK + 1) % 3 == 0
+    assert (runs.occurrences(telling) == whole.occurrences(telling)).all()
+    tracemalloc.start()
+    toxicity._choose(runs, labels, np.ones(302, dtype=bool))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 5 * 8 * (toxicity.MASK + 1)
