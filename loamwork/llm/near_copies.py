@@ -11,8 +11,10 @@ using MapReduce"). Sets that share such a shingle are candidates; sizes and the
 differ in fewer shingles than their bits do, Sandes et al., "Bitmap filter") leave out only pairs that cannot be linked,
 and the rest are compared in full. The order uses counts of shingles by BUCKETS hash buckets: it bears on speed only.
 
-A group of candidates is first compared with its least member; after that, only pairs that are not yet in one component
-are, so a group of near copies takes about as many comparisons as it has members. Texts are not shuffled for comparisons;
+A group of candidates is first compared with its least member; after that, round by round, each member outside the
+group's largest component with the closest by parities that is of another component and that the group has not given
+before, in each round with MORE times as many, until a group has no such pairs. So a group of near copies takes about as
+many comparisons as it has members, and one of m members is through after log m rounds. Texts are not shuffled for comparisons;
 a set is shuffled once for each set that it is compared with, and one that is compared with many is so in several tasks.
 
 Defined results: words are lower-case A-Z, split by ASCII white space; a text of fewer than five words is one shingle; a
@@ -21,6 +23,7 @@ null or wordless text is one like any other. Sets and shingles are told apart by
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +43,8 @@ PART, WHOLE = 4, 5
 BUCKETS, PARITY, TOGETHER = 1 << 18, 1024, 1000
 #: Bits of the filter that tells which rows are compared; with more rows it lets others through, which a join takes out.
 FILTER = 1 << 21
+#: By how much the comparisons of a member grow from round to round.
+MORE = 32
 #: Rows that Python hands back at once.
 ROWS = 256
 
@@ -139,32 +144,51 @@ def prefixes(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long, set_id long")
 
 
-def _pairs(first: bool):
-    @F.pandas_udf("array<struct<a:long,b:long>>")
-    def likely(ids: pd.Series, ns: pd.Series, bits: pd.Series, roots: pd.Series) -> pd.Series:
-        """The pairs of each group that can be linked: those with its least member, or else those of the others that are
-        of two components."""
+def _pairs(times: int):
+    @F.pandas_udf("array<struct<a:long,b:long,more:boolean>>")
+    def likely(ids: pd.Series, ns: pd.Series, bits: pd.Series, roots: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.Series:
+        """Of the pairs of each group that can be linked, are of two components and were not tried (low, high) yet: those
+        with its least member if `times` is 0, or else the `times` closest of each member outside its largest component.
+        more: the group may have other pairs."""
         out = []
-        for g, n, p, root in zip(ids, ns, bits, roots, strict=True):
+        for g, n, p, root, low, high in zip(ids, ns, bits, roots, lows, highs, strict=True):
             g, n, root = (np.asarray(x, dtype=np.int64) for x in (g, n, root))
             order = np.argsort(g)
             g, n, p, root = g[order], n[order], _Parities([p[i] for i in order]), root[order]
-            found = []
-            for i in range(1) if first else range(1, len(g) - 1):
-                at = i + 1 + np.flatnonzero((WHOLE * np.minimum(n[i + 1 :], n[i]) >= PART * np.maximum(n[i + 1 :], n[i])) & (root[i + 1 :] != root[i]))
-                at = at[(PART + WHOLE) * p.apart(i, at) <= (WHOLE - PART) * (n[at] + n[i])]
-                found.extend({"a": int(g[i]), "b": int(x)} for x in g[at])
-            out.append(found)
+            tried = defaultdict(list)
+            if low is not None:
+                for i, j in np.searchsorted(g, np.stack([low, high], axis=1)).tolist():
+                    tried[i].append(j)
+                    tried[j].append(i)
+            _, part, sizes = np.unique(root, return_inverse=True, return_counts=True)
+            found, more = set(), not times
+            for i in np.flatnonzero(part != sizes.argmax()).tolist() if times else range(1):
+                can = (WHOLE * np.minimum(n, n[i]) >= PART * np.maximum(n, n[i])) & (part != part[i])
+                can[tried[i]] = False
+                at = np.flatnonzero(can)
+                apart, both = p.apart(i, at), n[at] + n[i]
+                near = (PART + WHOLE) * apart <= (WHOLE - PART) * both
+                at = at[near][np.argsort((apart / both)[near], kind="stable")]
+                if times:
+                    more |= len(at) > times
+                    at = at[:times]
+                found.update((min(i, j), max(i, j)) for j in at.tolist())
+            out.append([{"a": int(g[i]), "b": int(g[j]), "more": more} for i, j in sorted(found)])
         return pd.Series(out)
 
     return likely
 
 
-def _candidates(groups: DataFrame, sets: DataFrame, roots: DataFrame, first: bool) -> DataFrame:
-    """Distinct pairs (a, b) out of `groups(group, ids)`."""
+def _candidates(groups: DataFrame, sets: DataFrame, roots: DataFrame, tried: DataFrame | None, times: int) -> DataFrame:
+    """Pairs (group, a, b, more) out of `groups(group, ids)`. `tried(group, a, b)`: what they gave before, if anything."""
     known = sets.join(roots, sets["set_id"] == roots["node"], "left").select("set_id", "n", "bits", F.coalesce("root", "set_id").alias("root"))
     full = groups.select("group", F.explode("ids").alias("set_id")).join(known, "set_id").groupBy("group").agg(F.collect_list(F.struct("set_id", "n", "bits", "root")).alias("g"))
-    return full.select(F.explode(_pairs(first)("g.set_id", "g.n", "g.bits", "g.root")).alias("p")).select("p.a", "p.b").distinct()
+    if tried is None:
+        full = full.withColumn("t", F.lit(None).cast("array<struct<a:long,b:long>>"))
+    else:
+        full = full.join(tried.groupBy("group").agg(F.collect_list(F.struct("a", "b")).alias("t")), "group", "left")
+    pairs = _pairs(times)("g.set_id", "g.n", "g.bits", "g.root", "t.a", "t.b")
+    return full.select("group", F.explode(pairs).alias("p")).select("group", "p.a", "p.b", "p.more")
 
 
 def _compared(docs: DataFrame, wanted: DataFrame, row: str, size: int) -> DataFrame:
@@ -201,9 +225,9 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, rows: DataFrame, row: str, size: int) -> DataFrame:
-    """The pairs whose sets are alike enough, compared in full. `rows(set_id, row)`: a row that has each set. A set is
-    shuffled to each set that it is compared with, which for its part goes to as many tasks as its comparisons take."""
-    pairs = written(pairs, "near_pairs")
+    """The `pairs`, a written table, whose sets are alike enough, compared in full. `rows(set_id, row)`: a row that has each
+    set. A set is shuffled to each set that it is compared with, which for its part goes to as many tasks as its comparisons
+    take."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("long").alias("deals"))
     others = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), "deals").alias("deal"), "b", F.lit(False).alias("own"))
     own = many.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), F.col("a").alias("b"), F.lit(True).alias("own"))
@@ -229,16 +253,27 @@ def roots(docs: DataFrame, table: DataFrame, row: str, size: int = SHINGLE) -> D
     groups = written(groups.withColumn("group", F.monotonically_increasing_id()), "near_groups")
     sets = written(table.groupBy("set_id").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("fp").alias("fp"), F.min(row).alias(row)), "near_slim")
     rows = sets.select("set_id", row)
-    edges = _linked(simhash_pairs(sets), docs, rows, row, size)
-    # what fingerprints leave apart
-    edges = edges.union(_linked(_candidates(groups, sets, components(edges), True), docs, rows, row, size))
-    found = components(edges)
-    members = groups.filter(F.size("ids") > 2).select("group", F.explode("ids").alias("node")).join(found, "node", "left")
-    apart = members.groupBy("group").agg(F.min(F.coalesce("root", "node")).alias("low"), F.max(F.coalesce("root", "node")).alias("high")).filter("low <> high").select("group")
-    rest = written(groups.join(apart, "group", "left_semi"), "near_rest")
-    if rest.isEmpty():
-        return found
-    return components(edges.union(_linked(_candidates(rest, sets, found, False), docs, rows, row, size)))
+    compared = written(simhash_pairs(sets), "near_pairs")
+    edges = _linked(compared, docs, rows, row, size)
+    found, tried, times = components(edges), None, 0
+    while True:  # what fingerprints leave apart
+        likely = written(_candidates(groups, sets, found, tried, times), "near_likely")
+        if likely.isEmpty() and times:
+            return found
+        pairs = written(likely.select("a", "b").distinct().join(compared, ["a", "b"], "left_anti"), "near_pairs")
+        compared, given = compared.union(pairs), likely.select("group", "a", "b")
+        tried = tried.union(given) if tried else given
+        if not pairs.isEmpty() and not (links := _linked(pairs, docs, rows, row, size)).isEmpty():
+            edges = edges.union(links)
+            found = components(edges)
+        if times:
+            groups = groups.join(likely.filter("more").select("group").distinct(), "group", "left_semi")
+        members = groups.filter(F.size("ids") > 2).select("group", F.explode("ids").alias("node")).join(found, "node", "left")
+        apart = members.groupBy("group").agg(F.min(F.coalesce("root", "node")).alias("low"), F.max(F.coalesce("root", "node")).alias("high")).filter("low <> high").select("group")
+        groups = written(groups.join(apart, "group", "left_semi"), "near_rest")
+        if groups.isEmpty():
+            return found
+        times = max(1, times * MORE)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", size: int = SHINGLE) -> DataFrame:

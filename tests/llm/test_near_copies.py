@@ -129,3 +129,54 @@ def test_simhash_pairs_against_brute_force(spark, docs):
     got = [(r.a, r.b) for r in near_copies.simhash_pairs(frame).collect()]
     near = [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 2]
     assert near and merged(got) == merged(near)
+
+
+def near_and_apart(n=70):
+    """Copies of a text with one word changed, each alike to each other copy, and parts of the text, whose sets are smaller
+    and so are not alike to any. The parts' ids are below those of all copies, so they are the least of every group."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(100)]
+    copies = []
+    for k in range(n):
+        copy = list(words)
+        copy[rng.randrange(10, 90)] = f"new{k}"
+        copies.append(" ".join(copy))
+    low = min(near_copies._id(near_copies.shingles(t.encode())) for t in copies)
+    parts = []
+    for start in range(0, 41, 10):
+        at = (f"x{k} {' '.join(words[start : start + 60])}" for k in range(100_000))
+        parts.append(next(t for t in at if near_copies._id(near_copies.shingles(t.encode())) < low))
+    return list(enumerate([*copies, *parts]))
+
+
+def test_a_group_takes_about_as_many_comparisons_as_it_has_members(spark, docs, monkeypatch):
+    rows = near_and_apart()
+    counts, inner = [], near_copies.written
+    monkeypatch.setattr(near_copies, "written", lambda df, name: counts.append((name, inner(df, name).count())) or inner(df, name))
+    got = sorted(r.doc_id for r in near_copies.keep_one(docs(*rows)).collect())
+    assert got == brute_kept(rows) and got[0] == 0
+    assert sum(n for name, n in counts if name == "near_pairs") < 4 * len(rows)
+
+
+@pytest.mark.parametrize("more", [1, 2, 8])
+def test_rounds_end_with_every_pair_tried(spark, docs, monkeypatch, more):
+    """Long texts just under the line, whose parity bits show few of them apart: these are compared all, in rounds."""
+    monkeypatch.setattr(near_copies, "MORE", more)
+    words = [f"w{i}" for i in range(1028)]
+    rows = []
+    for k in range(7):
+        copy = list(words)
+        for i in range(13):
+            copy[10 + 10 * (7 * i + k)] = f"new{k}_{i}"
+        rows.append((k, " ".join(copy)))
+    rows.append((7, f"{rows[6][1]} and"))
+    s = [near_copies.shingles(t.encode()) for _, t in rows[:7]]
+    bits = near_copies._Parities([near_copies._parities(x) for x in s])
+    unsure = {tuple(sorted((near_copies._id(s[i]), near_copies._id(s[j])))) for i in range(7) for j in range(i) if 9 * bits.apart(i, np.array([j]))[0] <= 2048}
+    assert len(unsure) > 15
+    compared, inner = [], near_copies.written
+    monkeypatch.setattr(near_copies, "written", lambda df, name: compared.append((name, inner(df, name).collect())) or inner(df, name))
+    got = sorted(r.doc_id for r in near_copies.keep_one(docs(*rows)).collect())
+    assert got == brute_kept(rows) == list(range(7))
+    pairs = [(r.a, r.b) for name, x in compared if name == "near_pairs" for r in x]
+    assert len(pairs) == len(set(pairs)) and unsure <= set(pairs)
