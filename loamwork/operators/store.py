@@ -91,7 +91,8 @@ def totals(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def resolve_conflicts(values: DataFrame) -> DataFrame:
     """`values(topic, value, last_verified_at, is_current, doc_id)` to (topic, value, conflict): the value of the most
-    recently verified current source, and whether current sources still disagree at that time."""
+    recently verified current source, and whether current sources still disagree at that time. Of several sources the one
+    with the least doc_id holds, of several values of one doc_id the least; nulls of either are no value."""
     w = Window.partitionBy("topic").orderBy(F.desc_nulls_last("last_verified_at"))
     top = values.filter("is_current").withColumn("nth", F.rank().over(w)).filter("nth = 1")
-    return top.groupBy("topic").agg(F.min_by("value", "doc_id").alias("value"), (F.count_distinct("value") > 1).alias("conflict"))
+    return top.groupBy("topic").agg(F.min_by("value", F.when(F.col("doc_id").isNotNull() & F.col("value").isNotNull(), F.struct("doc_id", "value"))).alias("value"), (F.count_distinct("value") > 1).alias("conflict"))
