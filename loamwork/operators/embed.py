@@ -1,15 +1,22 @@
-"""Embeddings: a pluggable model, and a hash embedder that is expressions alone.
+"""Embeddings: a pluggable model, and a hash embedder.
 
 The hash embedder counts a text's words by bucket, the word's SHA-256 as a number modulo the dimension, and divides by
-the length of the vector; a text without words is the zero vector. A null text has no words.
+the length of the vector; a text without words is the zero vector. A null text has no words. Words are counted in Python
+where the texts are read, so no word is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +27,11 @@ from ..schemas import EMBEDDING_DIM
 #: What stands before a query for models of the family named; documents get nothing.
 QUERY_PREFIXES = {"bge": "Represent this sentence for searching relevant passages: "}
 
+_WORD = re.compile("[a-z0-9]+")
+#: Rows counted at a time, numbers of dense vectors made at a time, characters of a text whose words are not listed at
+#: once, and words whose buckets a task keeps.
+ROWS, CELLS, LONG, KNOWN = 4096, 1 << 20, 1 << 20, 1 << 18
+
 
 class Embedder(Protocol):
     """What a model has to offer; vectors have length one."""
@@ -63,6 +75,59 @@ def bucket(word: Column, dim: int = EMBEDDING_DIM) -> Column:
     return out.cast("int")
 
 
+class _Buckets(dict):
+    """Words' buckets, as they are asked for; it starts anew when it holds KNOWN words."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
+        self[word] = at = int.from_bytes(hashlib.sha256(word.encode()).digest(), "big") % self.dim
+        return at
+
+
+def _words(text: str) -> Iterable[str]:
+    return _WORD.findall(text) if len(text) < LONG else (m[0] for m in _WORD.finditer(text))
+
+
+def _numbered(keys: pa.Array) -> tuple[list[int], pa.Array]:
+    """Each row's number among the different keys, and these; nested keys are not compared."""
+    try:
+        coded = pc.dictionary_encode(keys, null_encoding="encode")
+    except pa.ArrowNotImplementedError:
+        return list(range(len(keys))), keys
+    return coded.indices.to_pylist(), coded.dictionary
+
+
+def _counted(docs: DataFrame, key: str, text: str, dim: int) -> DataFrame:
+    """(key, counts): one row for each distinct key, an array of n * dim + bucket in which a bucket may come more than
+    once. Texts are counted where they are read, rows with one key together; what is shuffled is a short array for each key
+    and task's ROWS rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Buckets(dim)
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            rows, keys = _numbered(b.column(0))
+            counts = [Counter() for _ in range(len(keys))]
+            for row, t in zip(rows, b.column(1).cast(pa.binary()), strict=True):
+                if t.is_valid:
+                    counts[row].update(map(known.__getitem__, _words(t.as_py().decode(errors="replace").lower())))
+            ends = np.cumsum([0, *map(len, counts)])
+            packed = np.fromiter((n * dim + at for c in counts for at, n in c.items()), np.int64, ends[-1])
+            yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(packed))], names=[key, "counts"])
+
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("counts", T.ArrayType(T.LongType()))])
+    return docs.select(key, text).mapInArrow(count, schema).groupBy(key).agg(F.flatten(F.collect_list("counts")).alias("counts"))
+
+
+def _unpacked(b: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every entry of a batch of counts its place, row * dim + bucket, and its n."""
+    packed, ends = b.column(1).flatten().to_numpy(), np.diff(b.column(1).offsets.to_numpy())
+    return np.repeat(np.arange(b.num_rows), ends) * dim + packed % dim, packed // dim
+
+
 def hash_embed_sparse(docs: DataFrame, key: str, text: str = "text", dim: int = EMBEDDING_DIM) -> DataFrame:
     """(key, bucket, n): a document's counts. Words are counted by document first, with map-side combination, so each is
     hashed once for a document; the shuffle is by document, and the second count finds its rows where they are."""
@@ -72,9 +137,18 @@ def hash_embed_sparse(docs: DataFrame, key: str, text: str = "text", dim: int =
 
 def hash_vectors(docs: DataFrame, key: str, text: str = "text", dim: int = EMBEDDING_DIM) -> DataFrame:
     """(key, embedding): dense unit vectors, zero where there is no word; one row for each distinct key."""
-    sparse = hash_embed_sparse(docs, key, text, dim).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
-    dense = F.expr(f"transform(sequence(0, {dim - 1}), i -> cast(coalesce(try_element_at(m, i), 0) / coalesce(length, 1D) as float))")
-    return docs.select(key).distinct().join(sparse, key, "left").select(key, dense.alias("embedding"))
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, CELLS // dim)
+        for b in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
+            places, ns = _unpacked(b, dim)
+            m = np.bincount(places, ns, b.num_rows * dim).reshape(b.num_rows, dim)
+            length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+            vectors = pa.array((m / np.where(length > 0, length, 1)).astype(np.float32).reshape(-1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * dim, pa.int32()), vectors)], names=[key, "embedding"])
+
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    return _counted(docs, key, text, dim).mapInArrow(dense, schema)
 
 
 class HashEmbedder:
@@ -84,13 +158,9 @@ class HashEmbedder:
         self.dim = dim
 
     def embed_documents(self, texts: list[str]) -> list[list[float]]:
-        import hashlib
-        import re
-        from collections import Counter
-
         out = []
         for text in texts:
-            counts = Counter(int.from_bytes(hashlib.sha256(w.encode()).digest(), "big") % self.dim for w in re.findall("[a-z0-9]+", text.lower()))
+            counts = Counter(int.from_bytes(hashlib.sha256(w.encode()).digest(), "big") % self.dim for w in _WORD.findall(text.lower()))
             length = sum(n * n for n in counts.values()) ** 0.5 or 1.0
             out.append([counts[i] / length for i in range(self.dim)])
         return out
