@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import tokens
 from ..schemas import EMBEDDING_DIM
 
 #: What stands before a query for models of the family named; documents get nothing.
@@ -129,10 +128,18 @@ def _unpacked(b: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash_embed_sparse(docs: DataFrame, key: str, text: str = "text", dim: int = EMBEDDING_DIM) -> DataFrame:
-    """(key, bucket, n): a document's counts. Words are counted by document first, with map-side combination, so each is
-    hashed once for a document; the shuffle is by document, and the second count finds its rows where they are."""
-    counted = docs.select(F.col(key), F.explode(tokens(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
-    return counted.select(key, bucket(F.col("word"), dim).alias("bucket"), "n").groupBy(key, "bucket").agg(F.sum("n").alias("n"))
+    """(key, bucket, n): a document's counts; rows with one key are one document."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            places, ns = _unpacked(b, dim)
+            places, back = np.unique(places, return_inverse=True)
+            sums = np.zeros(len(places), dtype=np.int64)
+            np.add.at(sums, back, ns)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(places // dim)), pa.array((places % dim).astype(np.int32)), pa.array(sums)], names=[key, "bucket", "n"])
+
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType())])
+    return _counted(docs, key, text, dim).mapInArrow(rows, schema)
 
 
 def hash_vectors(docs: DataFrame, key: str, text: str = "text", dim: int = EMBEDDING_DIM) -> DataFrame:
